@@ -192,3 +192,15 @@ def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool
             yield pa.RecordBatch.from_arrays([*out, *([pa.array(gone), pa.array(lost)] if counted else [])], [*kept, *(n for n, _ in extra)])
 
     return picked.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeated chunks taken out; rows whose words all went are left out, others stay, with all columns."""
+    counts = {"chunks": "removed_chunks", "bytes": "removed_bytes"}
+    if clash := {c.lower() for c in docs.columns} & set(counts.values()):
+        return remove_repeated_chunks(docs.withColumnsRenamed({c: c + "_" for c in docs.columns if c.lower() in clash}), id_col, text_col).filter(_left(text_col)).drop(*counts.values()).withColumnsRenamed({c + "_": c for c in docs.columns if c.lower() in clash})
+    return remove_repeated_chunks(docs, id_col, text_col).filter(_left(text_col)).drop(*counts.values())
+
+
+def _left(text_col: str):
+    return (F.col("removed_chunks") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")

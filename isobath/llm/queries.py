@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, classifier, line_dedup, quality_rules, sharding
+from . import bagminhash, classifier, decontaminate, html_extract, line_dedup, ngram_trie, quality_rules, sentencepiece_dropout, sharding, warc
 from .shared import table
 
 
@@ -31,9 +31,68 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_dropout.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
+
+
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ngram_trie.held_out_fold())
+
+
+_QUERIES = (
+    op1_histogram_sort,
+    op2_robust_outliers,
+    op3_merge_dropout,
+    op4_bradley_terry,
+    op5_bagminhash,
+    op6_crf_main_text,
+    op7_warc_index_merge,
+    op8_line_chunks,
+    op9_spaced_seeds,
+    op10_ngram_trie,
+)
+
+#: Rows in the order of page captures: host labels reversed, path, sorted query; revisits by equal payloads of 100 bytes or more.
+_OP7 = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, url, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p
+), r AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM r
+), k AS (
+  SELECT *, regexp_replace(lower(regexp_replace(regexp_extract(rest, '^[^/?]*'), ':.*$', '')), '^www[0-9]*[.]', '') AS host,
+    lower(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1)) AS path, lower(regexp_extract(rest, '[?](.*)$', 1)) AS query FROM u
+), s AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url_key FROM k
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to,
+  url_key, CAST(row_number() OVER (ORDER BY url_key, page_id) - 1 AS BIGINT) AS history_rank
+FROM s
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_robust_outliers, op4_bradley_terry, op5_bagminhash, op8_line_chunks)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_index_merge": _OP7}
