@@ -12,10 +12,11 @@ drawn in the order of time, and only while one can still lower some register: a
 text's time limit starts at the time by which all registers are likely filled.
 
 Registers are banded; rows that share a band are candidates. Identical texts
-form one class first. Then every band bucket verifies its members against its least
-member only; classes are the components of verified links; and where a bucket still
-holds several classes, pairs across classes (never within one) whose signatures
-and sizes allow it are verified too. So no link between different classes of a bucket
+form one class first. Then every band bucket verifies its members against one pivot, drawn
+anew for each bucket, so that a text meets as many pivots as it has bands; classes are the components of
+verified links. Where a bucket still holds several classes, its other members meet a
+pivot of the largest class, and at last pairs across classes (never within one) whose signatures
+and sizes allow it are verified. So no link between different classes of a bucket
 is left untested, and no group of copies is expanded into its pairs.
 
 Defined results. A null text or one without words is a class of its own; a null id
@@ -38,11 +39,14 @@ from .shared import settle
 from .textkit import Spans, U, mix, salted, shingles, text_pieces, words
 
 WIDTH = 5
-REGISTERS = 80
-BANDS = 20
+REGISTERS = 320
+BANDS = 40
 SIMILARITY = 0.8
-#: Signatures that agree less than this are not verified: five standard deviations below SIMILARITY.
-SLACK = 0.22
+#: Signatures that agree less than this are not verified: four standard deviations below SIMILARITY.
+SLACK = 0.09
+#: Larger buckets are compared in blocks of so many members, smaller ones by a join.
+BLOCK = 400
+SMALL_BUCKET = 24
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -218,26 +222,96 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     member = settle(signed.select("id", "h1", "h2").join(same, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep")))
     reps = signed.join(member.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    in_shared = settle(buckets.join(shared, "bucket").select("bucket", "a", "id"))
-    stars = in_shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    rows = settle(buckets.join(shared, "bucket"))
     sizes = reps.select("id", "sig", "total")
-    links = settle(_verified(settle(_alike(stars, sizes, similarity)), docs, id_col, text_col, similarity))
-    grouped = settle(_class_of(in_shared.select("id").distinct(), links))
-    inside = in_shared.select("bucket", "id").join(grouped, "id")
-    parts = inside.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "class")).alias("most")).filter("parts > 1").select("bucket", F.col("most.class").alias("big"))
-    rows = inside.join(mixed, "bucket")
-    small = rows.filter("class <> big").select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), "big")
-    every = rows.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"))
-    across = small.join(every, "bucket").filter("cx <> cy and (cy = big or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    tried = in_shared.filter("a <> id").select("a", F.col("id").alias("b"))
-    fresh = across.distinct().join(tried.distinct(), ["a", "b"], "left_anti")
-    more = settle(_verified(settle(_alike(fresh, sizes, similarity)), docs, id_col, text_col, similarity))
-    final = components(links.union(more), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    check = lambda pairs: settle(_verified(settle(_alike(pairs, sizes, similarity)), docs, id_col, text_col, similarity))
+    tried = settle(_stars(rows, _pivots(rows, 0)))
+    links = check(tried)
+    grouped = settle(_class_of(rows.select("id").distinct(), links))
+    # buckets that still hold several classes: another pivot from the largest class, then whatever is left
+    for turn in (1, 2):
+        inside = rows.join(grouped, "id")
+        mixed = settle(_mixed(inside))
+        if mixed.isEmpty():
+            break
+        open_rows = inside.join(mixed, "bucket")
+        if turn == 1:
+            pairs = _stars(open_rows.filter("class <> big"), _pivots(open_rows.filter("class = big"), turn))
+        else:
+            pairs = _across(open_rows, sizes, similarity)
+        fresh = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
+        more = check(fresh)
+        tried, links = tried.union(fresh), links.union(more)
+        if not more.isEmpty():
+            grouped = settle(_joined(grouped, more))
+    final = grouped.select(F.col("id").alias("rep"), F.col("class").alias("class_id"))
     return member.join(final, "rep", "left").select("id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("representative"))
 
 
+def _pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """One member of each bucket, drawn by a keyed hash, so that a member of many buckets meets many pivots."""
+    return rows.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("bucket", "id", F.lit(turn)), "id")).alias("pivot"))
+
+
+def _stars(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each member and its bucket's pivot."""
+    return rows.join(pivots, "bucket").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _mixed(inside: DataFrame) -> DataFrame:
+    """Buckets of several classes, and the class with most members in each."""
+    parts = inside.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    return parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("class", F.struct("n", "class")).alias("big")).filter("parts > 1").select("bucket", "big")
+
+
+def _across(rows: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of different classes in a bucket that sizes, and in larger buckets signatures, leave possible.
+
+    A larger bucket is dealt to pairs of blocks of BLOCK members; a block pair is compared in one
+    bounded task and only pairs that may be alike leave it.
+    """
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    rows = rows.join(counts, "bucket").join(sizes, "id")
+    few = rows.filter(F.col("n") <= SMALL_BUCKET)
+    small = few.filter("class <> big").select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("total").alias("tx"))
+    every = few.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("total").alias("ty"), "big")
+    near = F.least("tx", "ty") >= similarity * F.greatest("tx", "ty")
+    pairs = small.join(every, "bucket").filter(near).filter("cx <> cy and (cy = big or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int"))
+    spread = many.select("bucket", "id", "class", "total", "sig", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    blocks = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "id", "class", "total", "sig", "_own")
+    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)])
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own = np.array(group.column("_own"))
+        ids, kinds = group.column("id").to_numpy(), group.column("class").to_numpy()
+        total = np.array(group.column("total"), float)
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(own), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for k in left:
+            other = right[(kinds[right] != kinds[k]) & (np.minimum(total[right], total[k]) >= similarity * np.maximum(total[right], total[k]))]
+            if i == j:
+                other = other[ids[other] > ids[k]]
+            other = other[(sig[other] == sig[k]).mean(1) >= similarity - SLACK]
+            found += [(min(ids[k], o), max(ids[k], o)) for o in ids[other]]
+        return pa.table({"a": pa.array([f[0] for f in found], group.schema.field("id").type), "b": pa.array([f[1] for f in found], group.schema.field("id").type)})
+
+    return pairs.union(blocks.groupBy("bucket", "i", "j").applyInArrow(run, schema)).distinct()
+
+
+def _joined(grouped: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, class) after links between classes; only the classes' own graph is contracted."""
+    of = lambda side: grouped.select(F.col("id").alias(side), F.col("class").alias(f"c{side}"))
+    found = components(more.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    return grouped.join(found, "class", "left").select("id", F.coalesce("whole", "class").alias("class"))
+
+
 def classify_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: id, class_id (the id itself where it has no words), representative."""
     found = classes(docs, id_col, text_col, **how).withColumnRenamed("id", "_id")
