@@ -130,13 +130,18 @@ class EliasFano:
         at = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - high + 1, 0)
         stop = self._select0(high) - high
         want = values & U((1 << self.low) - 1)
+        end = stop.copy()
         live = np.flatnonzero(at < stop)
+        # low bits rise within a bucket: halve the range, as a frequent context can fill a bucket with many successors
         while len(live):
-            low = self._lows(at[live])
-            hit = low == want[live]
-            out[live[hit]] = at[live[hit]]
-            at[live] += 1
-            live = live[(low < want[live]) & (at[live] < stop[live])]
+            mid = (at[live] + stop[live]) >> 1
+            less = self._lows(mid) < want[live]
+            at[live] = np.where(less, mid + 1, at[live])
+            stop[live] = np.where(less, stop[live], mid)
+            live = live[at[live] < stop[live]]
+        some = np.flatnonzero(at < end)
+        hit = self._lows(at[some]) == want[some]
+        out[some[hit]] = at[some[hit]]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
