@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 in the shared folder and reads it again as the next stage's docs.
 
 1. quality_rules: rows that fail the base rules or are robust outliers go.
-2. line_dedup: repeated line chunks go from the texts; a row that loses all its words goes.
+2. line_dedup: repeated line chunks go from the texts; a row that lost some and has under 10 words left goes.
 3. near_dedup: of each class of near-duplicates the row of the least id stays.
 4. decontamination: rows that overlap a benchmark item go.
 5. sentencepiece: the rows' token ids (seeded merge-dropout), with the texts' columns replaced by counts.

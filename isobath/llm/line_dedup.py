@@ -36,6 +36,8 @@ MEAN_LINES = 3
 MAX_LINES = 24
 LONG_WORDS = 50
 MIN_LINES = 2
+#: A remainder of fewer words is no document of its own.
+MIN_WORDS_LEFT = 10
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -195,7 +197,7 @@ def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out; rows whose words all went are left out, others stay, with all columns."""
+    """docs with repeated chunks taken out; rows that lost chunks and have under MIN_WORDS_LEFT words left go, others stay, with all columns."""
     counts = {"chunks": "removed_chunks", "bytes": "removed_bytes"}
     if clash := {c.lower() for c in docs.columns} & set(counts.values()):
         return remove_repeated_chunks(docs.withColumnsRenamed({c: c + "_" for c in docs.columns if c.lower() in clash}), id_col, text_col).filter(_left(text_col)).drop(*counts.values()).withColumnsRenamed({c + "_": c for c in docs.columns if c.lower() in clash})
@@ -203,4 +205,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _left(text_col: str):
-    return (F.col("removed_chunks") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    word = r"[^\x20\x09-\x0D]+"
+    return (F.col("removed_chunks") == 0) | F.col(text_col).rlike(rf"(?:{word}[\x20\x09-\x0D]+){{{MIN_WORDS_LEFT - 1}}}{word}")
