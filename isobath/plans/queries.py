@@ -471,3 +471,47 @@ def mask_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     wet = demo.water(spark, sf_dir).select("x", "z")
     return mask_difference(wet, _water_regions(spark, sf_dir))
 
+
+
+@query(_LABELS + _CANON + " SELECT id, count(*) AS area FROM labelled JOIN numbered USING (component) GROUP BY id", recursive=True)
+def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the regions after they were encoded in the binary file and parsed again."""
+    from ..sources import waterfile
+
+    own = runs.coalesce_runs(_regions(spark, sf_dir), "id")
+    held: dict[int, list] = {}
+    for r in own.orderBy("id", "z", "x0").toLocalIterator():
+        held.setdefault(r.id, []).append((r.z, r.x0, r.x1))
+    rows, listed = [], []
+    for number in sorted(held):
+        part = held[number]
+        area = sum(b - a + 1 for _, a, b in part)
+        box = min(a for _, a, _ in part), min(z for z, *_ in part), max(b for *_, b in part), max(z for z, *_ in part)
+        rows.append((number, 2, 1, 1, 0, 0, 62, *box, area, 0, 0, 0, 0, 0, 0))
+        listed.append(part)
+    bounds = min(r[7] for r in rows), min(r[8] for r in rows), max(r[9] for r in rows), max(r[10] for r in rows)
+    file = waterfile.WaterFile(waterfile.encode(rows, listed, bounds))
+    return spark.createDataFrame([(r[0], r[11]) for r in file.regions], "id long, area long")
+
+
+@query()
+def lake_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores, channel flood, necks and reconstruction on the percolating two-state raster, with thresholds that fit its size."""
+    from ..operators.lakes import separate
+    from ..options import LakeOptions
+
+    options = LakeOptions(core_radius=2, density_8=0.5, density_16=0.5, density_32=0.4, min_core_area=2, min_channel_length=4)
+    return separate(demo.water(spark, sf_dir, "O", "P").select("x", "z"), options)
+
+
+@query()
+def region_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components, absorption, sums of the merged groups and final attributes in one plan."""
+    own, nodes, edges = _graph(spark, sf_dir)
+    group = contraction.absorb_regions(nodes, edges, 6)
+    joined = runs.coalesce_runs(own.drop("status").join(group.select("id", "group"), "id").drop("id").withColumnRenamed("group", "id"), "id")
+    cells = _cells(spark, sf_dir).withColumns({"coral": F.lit(False), "plants": F.lit(False)})
+    kind = nodes.select(F.col("id").alias("donor"), "kind")
+    heads = group.select("group", "donor").distinct().join(kind, "donor").select(F.col("group").alias("id"), "kind")
+    sums = regions.accumulate(joined, cells, _dimension(spark))
+    return regions.finalize(sums.join(heads, "id")).select("id", "kind", "columns", "vegetation", "modifiers", "mean_depth", "surface_y")

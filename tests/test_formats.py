@@ -124,3 +124,15 @@ def test_lake_and_channel(spark):
     got = {(r.x, r.z): r.lake for r in lakes.separate(spark.createDataFrame(columns, "x int, z int")).collect()}
     assert got[(0, 0)] == 1 and got[(-50, 0)] == 1 and got[(250, 0)] == 0 and got[(150, 2)] == 0
     assert len(got) == len(columns)
+
+
+def test_stream_of_region_files(spark, tmp_path):
+    from isobath.streaming.incremental import run_batches, stream_columns
+
+    folder = tmp_path / "region"
+    folder.mkdir()
+    (folder / "r.0.0.mca").write_bytes(anvil.region_file({0: chunk(0, 0), 1: chunk(1, 0)}))
+    counts = []
+    query = run_batches(stream_columns(spark, str(folder)), lambda batch, _: counts.append(batch.count()), str(tmp_path / "state"))
+    query.awaitTermination(60)
+    assert sum(counts) == 512
