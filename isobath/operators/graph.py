@@ -8,6 +8,10 @@ very many edges. Rounds grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+#: Up to so many edges, counted beforehand, one task contracts the graph; a larger graph stays distributed.
+LOCAL_EDGES = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a bounded graph: labels fall to the least neighbour's, and along chains of labels, until they rest."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    nodes, ends = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+    u, v = ends[: table.num_rows], ends[table.num_rows :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        while (jumped := new[new] != new).any():
+            new = np.where(jumped, new[new], new)
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, table.schema.field("u").type), pa.array(nodes[label], table.schema.field("u").type)], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for every node of an edge; the component is its least node. Nulls are no nodes."""
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(now)
+    if local_edges and now.limit(local_edges + 1).count() <= local_edges:
+        kind = now.schema["u"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_contract, f"node {kind}, component {kind}")
     tell = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     before = tell(now)
     for _ in range(most_rounds):

@@ -99,7 +99,7 @@ def shape_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.perimeters(_labelled(spark, sf_dir), "component").select("component", F.round(water.mean_width(area, edge), 6).alias("mean_width"), F.round(water.elongation(area, edge), 6).alias("elongation"), water.is_bank(area, edge, half).alias("bank"))
 
 
-@query(_LABELS + " SELECT status, component, count(*) AS area FROM labelled GROUP BY status, component ORDER BY area DESC, component LIMIT 24", recursive=True)
+@query(_LABELS + " SELECT status, component, area FROM (SELECT *, row_number() OVER (ORDER BY area DESC, component) AS k FROM (SELECT status, component, count(*) AS area FROM labelled GROUP BY status, component)) WHERE k <= 24", recursive=True)
 def topn_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir).orderBy(F.desc("area"), "component").limit(24)
 
@@ -416,7 +416,7 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir).groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("regions"), F.sum("area").alias("columns"), F.max("area").alias("largest"))
 
 
-@query(_LABELS + " SELECT component AS id, status AS kind, area AS column_count FROM (SELECT status, component, count(*) AS area FROM labelled GROUP BY ALL) ORDER BY area DESC, component LIMIT 50", recursive=True)
+@query(_LABELS + " SELECT component AS id, status AS kind, area AS column_count FROM (SELECT *, row_number() OVER (ORDER BY area DESC, component) AS k FROM (SELECT status, component, count(*) AS area FROM labelled GROUP BY ALL)) WHERE k <= 50", recursive=True)
 def json_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks.reports import region_json
 

@@ -77,8 +77,9 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {i: top(i) for e in edges if e[0] != e[1] for i in e}
+    for bound in (0, 1000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b", local_edges=bound).collect()}
+        assert got == {i: top(i) for e in edges if e[0] != e[1] for i in e}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
