@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
 
 
 def _class_of(reps: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("class"))
+    found = components(links, "a", "b", local_edges=0).select(F.col("node").alias("id"), F.col("component").alias("class"))
     return reps.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
 
 
@@ -308,7 +308,7 @@ def _across(rows: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
 def _joined(grouped: DataFrame, more: DataFrame) -> DataFrame:
     """(id, class) after links between classes; only the classes' own graph is contracted."""
     of = lambda side: grouped.select(F.col("id").alias(side), F.col("class").alias(f"c{side}"))
-    found = components(more.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    found = components(more.join(of("a"), "a").join(of("b"), "b"), "ca", "cb", local_edges=0).select(F.col("node").alias("class"), F.col("component").alias("whole"))
     return grouped.join(found, "class", "left").select("id", F.coalesce("whole", "class").alias("class"))
 
 
