@@ -17,7 +17,7 @@ def test_stages(spark, tmp_path):
     assert not {100, 101, 104, 106} & set(kept)
     # of an exact copy a last line that makes no chunk may stay
     assert 105 not in kept or kept[105].n_bytes < 150
-    assert len({102, 103} & set(kept)) == 1
+    assert not {102, 103} & set(kept)
     assert all(r.decodes and r.n_tokens > 0 for r in kept.values())
 
 
