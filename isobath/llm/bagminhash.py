@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .shared import settle
+from .shared import bounded, settle
 from .textkit import Spans, U, mix, salted, shingles, text_pieces, words
 
 WIDTH = 5
@@ -167,7 +167,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, registers: int, bands: in
                 out = [batch.column(0).slice(lo, hi - lo), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(total), sig8, band]
                 yield pa.RecordBatch.from_arrays([x.take(keep) for x in out], ["id", "h1", "h2", "total", "sig", "bands"])
 
-    return picked.mapInArrow(run, T.StructType([picked.schema["id"], *(T.StructField(n, k) for n, k in (("h1", T.LongType()), ("h2", T.LongType()), ("total", T.LongType()), ("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))]))
+    return bounded(picked).mapInArrow(run, T.StructType([picked.schema["id"], *(T.StructField(n, k) for n, k in (("h1", T.LongType()), ("h2", T.LongType()), ("total", T.LongType()), ("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))]))
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
                     good[i] = overlap(last[1], hashes[at[i - lo] : at[i - lo + 1]]) >= similarity
             yield batch.filter(pa.array(good)).select(["a", "b"])
 
-    return joined.mapInArrow(run, joined.select("a", "b").schema)
+    return bounded(joined).mapInArrow(run, joined.select("a", "b").schema)
 
 
 def _class_of(reps: DataFrame, links: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded
 from .textkit import SPACE, Spans, U, mix, runs, salted, strings, text_pieces
 
 #: Masks of weight 8; 1 is compared, 0 ignored.
@@ -163,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]
                         yield pa.RecordBatch.from_arrays([ids, items, *numbers, pa.array([len(ix["tokens"][r[1]]) for r in rows], pa.int64())], schema.names)
 
-        found.append(picked.mapInArrow(run, schema))
+        found.append(bounded(picked).mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -195,5 +196,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                         keep[lo + t] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs.select(*[F.col(f"`{c}`") for c in columns])

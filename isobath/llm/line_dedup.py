@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded
 from .textkit import SPACE, Spans, U, lines, mix, per_text, salted, text_pieces
 
 #: One line in so many ends a chunk.
@@ -96,7 +97,7 @@ def _light(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     own = offsets[c["text"][at]]
                     yield pa.RecordBatch.from_arrays([pa.array(c["fp"][at].view(np.int64)), ids, pa.array((c["lo"][at] - own).astype(np.int32)), pa.array((c["hi"][at] - own).astype(np.int32))], ["fp", "id", "lo", "hi"])
 
-    return picked.mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), picked.schema["id"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    return bounded(picked).mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), picked.schema["id"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
@@ -138,7 +139,7 @@ def _differing(joined: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), ids.take(pa.array(take)), pa.array(keeps), pa.array(data, pa.binary())], ["fp", "_id", "keeps", "data"])
 
     schema = T.StructType([T.StructField("fp", T.LongType()), touched.schema["_id"], T.StructField("keeps", T.BooleanType()), T.StructField("data", T.BinaryType())])
-    found = touched.mapInArrow(run, schema)
+    found = bounded(touched).mapInArrow(run, schema)
     stays = found.filter("keeps").groupBy("fp").agg(F.min("data").alias("stays"))
     others = found.filter("not keeps")
     return others.join(stays, "fp").filter(F.col("data") != F.col("stays")).groupBy("_id").agg(F.collect_set("fp").alias("_differs"))
@@ -193,7 +194,7 @@ def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool
                 out[at] = pa.array(texts, text_type)
             yield pa.RecordBatch.from_arrays([*out, *([pa.array(gone), pa.array(lost)] if counted else [])], [*kept, *(n for n, _ in extra)])
 
-    return picked.mapInArrow(run, schema)
+    return bounded(picked).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
+from .shared import bounded, settle
 from .textkit import LOWER, Spans, U, mix, pieces, strings, buffer_of, words
 
 BLOCK_BYTES = 6_000_000
@@ -277,7 +277,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, held: F.Column, blo
         if waiting:
             yield block_row(pa.concat_tables(waiting), number)
 
-    return picked.mapInArrow(run, _BLOCK.format(kind))
+    return bounded(picked).mapInArrow(run, _BLOCK.format(kind))
 
 
 def _word_messages(blocks: DataFrame, shards: int) -> DataFrame:

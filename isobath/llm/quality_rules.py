@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, settle
+from .shared import bounded, free_name, settle
 from .textkit import SPACE, Spans, earlier, lines, per_text, shingles, text_pieces, words
 
 MIN_WORDS = 10
@@ -106,7 +106,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", out: str = "_stats", ke
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*map(rows.column, places), struct], [*kept, out])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def base_failed(stats: str):

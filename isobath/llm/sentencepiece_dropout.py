@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded
 from .textkit import Spans, U, mix, salted, text_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -304,7 +305,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens)))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return bounded(picked).mapInArrow(run, schema)
 
 
 def decode_tokens(encoded: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:

@@ -7,6 +7,7 @@ position 0 by the inverse power; all arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,12 +79,22 @@ def buffer_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def text_pieces(array: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of bounded pieces of a batch."""
     array = strings(array)
     data, offsets = buffer_of(array)
     for lo, hi in pieces(np.diff(offsets), limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    give_back()
 
 
 class Spans:
