@@ -321,6 +321,46 @@ def test_line_chunks_match_brute_force(spark, docs, none):
     assert line_dedup.without_repeats(clash).columns == clash.columns
 
 
+def test_repeated_passages_go_whole(spark):
+    """Every line run of 50 words or more that an earlier text has, or the same text before, goes wherever chunks end; one copy of each line stays."""
+    own = np.random.default_rng(77)
+    line = lambda n: " ".join(str(w) for w in own.choice(VOCABULARY, n)) + f" {own.integers(10**12)}"
+    passages = [[line(-(-55 // n)) for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 8, 13)] + [["", line(30), "", "", line(30)]]
+    texts = []
+    for _ in range(40):
+        parts = [[line(int(own.integers(1, 20))) for _ in range(own.integers(1, 4))] for _ in range(4)]
+        for k, j in enumerate(own.integers(0, len(passages), 3)):
+            parts.insert(2 * k + 1, passages[j])
+        texts.append([x for p in parts for x in p])
+    texts += [[x for x in texts[3]], texts[4][2:], [line(11)] * 30, passages[0], [line(20), *passages[3][1:], *passages[3][:2]]]
+    size = lambda rows: sum(len(WORD.findall(x)) for x in rows)
+    repeated = []
+    for i, b in enumerate(texts):
+        flags = [False] * len(b)
+        for a in texts[:i]:
+            for y in range(len(b)):
+                for x in range(len(a)):
+                    n = 0
+                    if x and y and a[x - 1] == b[y - 1]:
+                        continue
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if size(b[y : y + n]) >= line_dedup.LONG_WORDS:
+                        flags[y : y + n] = [True] * n
+        repeated.append(flags)
+    frame = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(frame).collect()}
+    left = [set(got[i].text.split("\n")) for i in range(len(texts))]
+    for i, (t, flags) in enumerate(zip(texts, repeated, strict=True)):
+        assert not [x for x, f in zip(t, flags, strict=True) if f and x and x in left[i] and t.count(x) == 1], i
+        assert got[i].removed_bytes == len("\n".join(t).encode()) - len(got[i].text.encode())
+    assert {x for t in texts for x in t if x} == {x for s in left for x in s if x}
+    assert [got[i].text for i in (40, 43)] == ["", ""] and 5 <= got[42].text.count("\n") + 1 <= 6
+    # lines of no repeated passage stay
+    many = collections.Counter(x for t in texts for x in set(t))
+    assert all(many[x] > 1 or x in left[i] for i, t in enumerate(texts) for x in t)
+
+
 def test_chunk_boundaries_resist_shifts():
     text = "\n".join(f"line {k} {k * 7}" for k in range(200))
     pieces = lambda t: {t.encode()[a:b].rstrip(b"\n") for a, b in zip(*(line_dedup.chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[c] for c in ("lo", "hi")), strict=True)}
