@@ -7,7 +7,9 @@ all placements of all masks in the benchmark are looked up for every place of ev
 text; a hit fixes an item, a text and a diagonal, and the overlap on that diagonal is
 verified token by token: the best run, +1 for an equal token and -``MISS_COST`` for another, must hold
 ``MIN_MATCHED`` equal tokens (for a shorter item all but one in five).
-Items too short for the masks are sought by the hash of all their tokens.
+The masks of an item go by its length, and are so chosen that no run that is enough lacks
+a seed: a run cannot begin or end within four tokens of a miss, and for every place that
+the misses can then have one of the masks lies between them (tests enumerate them).
 
 The benchmark's hashes go to the tasks in blocks of at most ``BLOCK_HASHES`` (their
 size is thereby bounded and checked); a larger benchmark is sought block by block,
@@ -33,8 +35,23 @@ from pyspark.sql import types as T
 from .shared import bounded
 from .textkit import SPACE, Spans, U, mix, runs, salted, strings, text_pieces
 
-#: Masks of weight 8; 1 is compared, 0 ignored.
-MASKS = ("11101100101011", "1101100011010011", "11110010001000111")
+#: Masks of weight 8; 1 is compared, 0 ignored. None is longer than the MIN_MATCHED tokens that are enough.
+MASKS = ("1111011101", "111111011", "111110100101", "111101010011")
+#: Masks of items under 16 tokens by their number; an item of one to three has only itself.
+SHORT_MASKS = {
+    4: ("1111",),
+    5: ("1111",),
+    6: ("11111",),
+    7: ("111111",),
+    8: ("1111111",),
+    9: ("11110111",),
+    10: ("11110111",),
+    11: ("111101111",),
+    12: ("111101111",),
+    13: ("111101111", "1111011101"),
+    14: ("111101111", "1111011101", "1111101101"),
+    15: ("111101111", "1111011101", "1111101101", "1111110101"),
+}
 MIN_MATCHED = 13
 MISS_COST = 3
 BLOCK_HASHES = 2_000_000
@@ -49,7 +66,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return Spans(data).hashes(starts, ends), np.searchsorted(starts, offsets)
 
 
-def _placed(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def masks_of(length: int) -> tuple[str, ...]:
+    """The masks of an item of so many tokens."""
+    return SHORT_MASKS.get(length, ("1" * length,) if 0 < length < 4 else MASKS if length else ())
+
+
+def _placed(hashes: np.ndarray, mask: str) -> np.ndarray:
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, U)
@@ -58,36 +80,26 @@ def _placed(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
         if m == "1":
             total *= U(0xD6E8FEB86659FD93)
             total += hashes[k : k + n]
-    return salted(total, salt)
-
-
-def _whole(hashes: np.ndarray) -> int:
-    total = U(0)
-    with np.errstate(over="ignore"):
-        for h in hashes:
-            total = total * U(0xD6E8FEB86659FD93) + h
-    return int(salted(np.array([total], U), 100 + len(hashes))[0])
+    return salted(total, int(mask, 2))
 
 
 def index(items: list[tuple[object, str | None]]) -> dict:
     """The hashes of all seeds of the items, sorted, with item and place; and the items' tokens."""
-    parts, toks, lengths = [], [], set()
+    parts, toks, masks = [], [], set()
     for number, (_, text) in enumerate(items):
         raw = np.frombuffer((text or "").lower().encode(), np.uint8)
         hashes, _ = tokens(raw, np.array([0, len(raw)]))
         toks.append(hashes)
-        for salt, mask in enumerate(MASKS):
-            h = _placed(hashes, mask, salt)
+        masks.update(masks_of(len(hashes)))
+        for mask in masks_of(len(hashes)):
+            h = _placed(hashes, mask)
             parts.append((h, np.full(len(h), number), np.arange(len(h))))
-        if 0 < len(hashes) < max(map(len, MASKS)):
-            lengths.add(len(hashes))
-            parts.append((np.array([_whole(hashes)], U), np.array([number]), np.array([0])))
     h, item, place = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, int) for i in range(3))
     order = np.argsort(h, kind="stable")
     h = h[order].astype(U)
     sieve = np.zeros(1 << 20, bool)
     sieve[h >> U(44)] = True
-    return {"hash": h, "item": item[order], "place": place[order], "tokens": toks, "ids": [i for i, _ in items], "sieve": sieve, "short": sorted(lengths)}
+    return {"hash": h, "item": item[order], "place": place[order], "tokens": toks, "ids": [i for i, _ in items], "sieve": sieve, "masks": sorted(masks)}
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
@@ -121,15 +133,8 @@ def findings(hashes: np.ndarray, firsts: np.ndarray, ix: dict) -> list[tuple[int
                 for k in range(lo[j], hi[j]):
                     hits.add((int(t), int(ix["item"][k]), p - int(ix["place"][k])))
 
-    for salt, mask in enumerate(MASKS):
-        note(_placed(hashes, mask, salt), len(mask))
-    for width in ix["short"]:
-        n = len(hashes) - width + 1
-        if n > 0:
-            total = np.zeros(n, U)
-            for k in range(width):
-                total = total * U(0xD6E8FEB86659FD93) + hashes[k : k + n]
-            note(salted(total, 100 + width), width)
+    for mask in ix["masks"]:
+        note(_placed(hashes, mask), len(mask))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for t, item, shift in hits:
         own = ix["tokens"][item]
@@ -172,7 +177,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list]:
     """The items in lists of a bounded number of seed hashes; only one list is on the driver at a time."""
     block, size = [], 0
     for row in benchmark.toLocalIterator():
-        n = 3 * len((row[1] or "").split()) + 1
+        n = len(MASKS) * len((row[1] or "").split()) + 1
         if block and size + n > most:
             yield block
             block, size = [], 0

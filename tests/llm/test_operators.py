@@ -386,6 +386,44 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, benchmark).count() == 0 and decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def _hashes(rows):
+    texts = [" ".join(r).encode() for r in rows]
+    return decontaminate.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts]))
+
+
+@pytest.mark.parametrize("length", range(1, 21))
+def test_whatever_is_enough_has_a_seed(length):
+    """All places of misses in items of up to 15 tokens, random ones in longer items; then all diagonals of edited copies."""
+    own = np.random.default_rng(length)
+    patterns = (np.arange(1 << length)[:, None] >> np.arange(length) & 1).astype(bool) if length < 16 else own.random((20_000, length)) > own.choice([0.1, 0.2, 0.3], (20_000, 1))
+    need = min(decontaminate.MIN_MATCHED, length - length // 5)
+    placements = [np.arange(k, k + len(m))[np.array(list(m)) == "1"] for m in decontaminate.masks_of(length) for k in range(length - len(m) + 1)]
+    seeded = np.any([patterns[:, p].all(1) for p in placements], axis=0)
+    for e in patterns[(patterns.sum(1) >= need) & ~seeded]:
+        assert not decontaminate.enough(decontaminate.best_run(e)[2], length), e.astype(int)
+    items = [[f"w{v}" for v in own.integers(0, 30, length)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        copy = list(items[k % 6])
+        for at in own.integers(0, length, k % 5):
+            copy[at] = f"x{at}"
+        if k % 3 == 1:
+            copy.insert(int(own.integers(0, length + 1)), "y")
+        lo = int(own.integers(0, max(1, length - 12)))
+        rows.append([f"z{v}" for v in own.integers(0, 9, own.integers(0, 4))] + (copy[lo : lo + 13] if k % 7 == 6 else copy) + ["z"] * (k % 2))
+    hashes, firsts = _hashes([[*r, ","] for r in rows])
+    sought, expected = [_hashes([x])[0] for x in items], {}
+    for t in range(len(rows)):
+        for item in range(6):
+            for shift in range(firsts[t] - length + 1, firsts[t + 1]):
+                lo, hi = max(firsts[t], shift), min(firsts[t + 1], shift + length)
+                matched = decontaminate.best_run(hashes[lo:hi] == sought[item][lo - shift : hi - shift])[2] if hi > lo else 0
+                if decontaminate.enough(matched, length):
+                    expected[t, item] = max(matched, expected.get((t, item), 0))
+    found = decontaminate.findings(hashes, firsts, decontaminate.index([(k, " ".join(x)) for k, x in enumerate(items)]))
+    assert {(t, item): matched for t, item, _, _, matched in found} == expected and expected
+
+
 # ---- language model -----------------------------------------------------------------
 
 
