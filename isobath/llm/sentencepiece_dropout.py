@@ -7,11 +7,12 @@ line feed (a line feed is its own unit). No piece of the model reaches over such
 checked when the model is read, so units are encoded apart.
 
 The agenda of a unit holds all adjacent pairs that form a piece, by score, leftmost first. A
-candidate merge is skipped for good when the keyed hash of (seed, variant, unit, place, the two
-symbols) falls below the dropout; a new neighbour makes a new candidate. A unit's variant
-is the keyed hash of (seed, text id, place of the unit), one of ``VARIANTS``, so the same
-word is cut differently in different places, and equally on every run. All distinct
-(unit, variant) of a block of texts are processed together, one merge of every unit at a step.
+candidate merge is skipped for good when the keyed hash of (seed, text id, place of the unit,
+unit, place in it, the two symbols) falls below the dropout; a new neighbour makes a new
+candidate. So dropout is drawn for every occurrence of a unit, and equally on every run.
+The distinct units of a block of texts are first cut without dropout; an occurrence that
+skips none of the merges made there has that cut, as merges that are not made change nothing. All other
+occurrences are processed together, one merge of every unit at a step.
 
 Letters outside the vocabulary become byte pieces, and so does a literal space mark,
 wherefore decoding gives back every text. Decoding joins the pieces' bytes.
@@ -37,7 +38,10 @@ from .textkit import Spans, U, mix, salted, text_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
+#: At most so many cuts of a unit in all texts; 0: every occurrence draws its own.
+VARIANTS = 0
+#: Occurrences drawn at once.
+DRAWN_UNITS = 200_000
 SEED = 2024
 MARK = "▁"
 
@@ -119,10 +123,20 @@ def model(path: str = MODEL) -> Model:
 _FAR = np.int64(1) << 40
 
 
-def merge_units(m: Model, codes: np.ndarray, firsts: np.ndarray, keys: np.ndarray, dropout: float, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(keys: np.ndarray, pairs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The keyed hash of candidate merges: table numbers of the pairs and their places in the units."""
+    return mix(keys + pairs.astype(U) * U(0xD1342543DE82EF95) + places.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def _limit(dropout: float) -> U:
+    return U(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
+def merge_units(m: Model, codes: np.ndarray, firsts: np.ndarray, keys: np.ndarray, dropout: float, marks: np.ndarray, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all units. codes: code points of all units; marks: which of them are written spaces; keys: hash of each unit's agenda.
 
     Returns symbols (unknown letters as -1 - code point) and their number for each unit.
+    made: gets (units, table numbers of the pairs, places) of all merges.
     """
     lengths = np.diff(firsts)
     at = np.minimum(np.searchsorted(m.letter_codes, codes), max(len(m.letter_codes) - 1, 0))
@@ -142,7 +156,7 @@ def merge_units(m: Model, codes: np.ndarray, firsts: np.ndarray, keys: np.ndarra
             else:
                 parts = [rows] if len(rows) else []
             for part in parts:
-                symbols, live = _merge_block(m, flat, firsts, lengths, part, keys, dropout)
+                symbols, live = _merge_block(m, flat, firsts, lengths, part, keys, dropout, made)
                 results.append(symbols[live])
                 counts[part] = live.sum(1)
                 places.append(part)
@@ -165,14 +179,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def _merge_block(m: Model, flat: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def _merge_block(m: Model, flat: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, keys: np.ndarray, dropout: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     width = int(lengths[rows].max())
     column = np.arange(width)
     live = column < lengths[rows][:, None]
     symbols = np.where(live, flat[np.minimum(firsts[rows][:, None] + column, max(len(flat) - 1, 0))], -(1 << 30))
     following = np.where(column + 1 < lengths[rows][:, None], column + 1, width)
     preceding = np.broadcast_to(column - 1, live.shape).copy()
-    limit = U(min(int(dropout * 2.0**64), 2**64 - 1))
+    limit = _limit(dropout)
     key = keys[rows]
 
     def candidates(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +197,7 @@ def _merge_block(m: Model, flat: np.ndarray, firsts: np.ndarray, lengths: np.nda
         rank = np.where(k >= 0, m.rank[k], _FAR)
         if dropout > 0:
             some = np.flatnonzero(k >= 0)
-            drawn = mix(key[r[some]] + k[some].astype(U) * U(0xD1342543DE82EF95) + c[some].astype(U) * U(0x9E3779B97F4A7C15))
+            drawn = _drawn(key[r[some]], k[some], c[some])
             rank[some[drawn < limit]] = _FAR
         return rank, k
 
@@ -197,6 +211,8 @@ def _merge_block(m: Model, flat: np.ndarray, firsts: np.ndarray, lengths: np.nda
         active, c = active[on], c[on]
         if not len(active):
             break
+        if made is not None:
+            made.append((rows[active], pair[active, c], c))
         symbols[active, c] = m.piece[pair[active, c]]
         gone = following[active, c]
         after = following[active, gone]
@@ -236,24 +252,59 @@ def encode(data: np.ndarray, offsets: np.ndarray, text_keys: np.ndarray, m: Mode
     order = np.arange(len(starts)) - np.repeat(firsts[:-1], per)
     spans = Spans(padded)
     unit = spans.hashes(starts, ends)
-    variant = (salted(np.repeat(text_keys, per) + order.astype(U) * U(0x9E3779B97F4A7C15), seed) % U(variants)).astype(U) if dropout > 0 else np.zeros(len(unit), U)
-    agenda = mix(unit + (variant + U(1)) * U(0xA0761D6478BD642F) + salted(np.array([seed], U), 7))
-    _, at, back = np.unique(agenda, return_index=True, return_inverse=True)
-    lo, size = starts[at], (ends - starts)[at]
-    # code points of the distinct units
-    mine = padded[ragged(lo, size)]
+    seeded = unit + salted(np.array([seed], U), 7)
+    if dropout > 0:
+        occurrence = salted(np.repeat(text_keys, per) + order.astype(U) * U(0x9E3779B97F4A7C15), seed)
+        agenda = mix(seeded + ((occurrence % U(variants) if variants else occurrence) + U(1)) * U(0xA0761D6478BD642F))
+    else:
+        agenda = mix(seeded)
+    _, at, back = np.unique(unit, return_index=True, return_inverse=True)
+    made: list = []
+    tokens, n = _cut(m, padded, starts[at], ends[at], agenda[at], 0.0, made)
+    if dropout > 0:
+        redrawn = np.flatnonzero(_skips(agenda, back, len(at), made, dropout))
+        # equal units of one agenda are cut once: rows that repeat an id, or variants
+        _, own, again = np.unique(agenda[redrawn], return_index=True, return_inverse=True)
+        own = redrawn[own]
+        more, more_n = _cut(m, padded, starts[own], ends[own], agenda[own], dropout)
+        back[redrawn] = len(at) + again
+        tokens, n = np.concatenate([tokens, more]), np.concatenate([n, more_n])
+    begin = np.cumsum(n) - n
+    tokens = tokens[ragged(begin[back], n[back])]
+    total = np.concatenate([[0], np.cumsum(n[back])])
+    return tokens, total[firsts]
+
+
+def _cut(m: Model, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, agenda: np.ndarray, dropout: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the units one after another, and their number for each unit."""
+    size = hi - lo
+    mine = data[ragged(lo, size)]
     head = (mine & 0xC0) != 0x80
     byte_first = np.concatenate([[0], np.cumsum(size)])
     count = np.concatenate([[0], np.cumsum(head)])
     codes = np.frombuffer(mine.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
     marks = codes == 32
     codes = np.where(marks, ord(MARK), codes)
-    symbols, n = merge_units(m, codes, count[byte_first], agenda[at], dropout, marks)
-    ids, n = _to_ids(m, symbols, n)
-    begin = np.cumsum(n) - n
-    tokens = ids[ragged(begin[back], n[back])]
-    total = np.concatenate([[0], np.cumsum(n[back])])
-    return tokens, total[firsts]
+    return _to_ids(m, *merge_units(m, codes, count[byte_first], agenda, dropout, marks, made))
+
+
+def _skips(agenda: np.ndarray, unit: np.ndarray, units: int, made: list, dropout: float) -> np.ndarray:
+    """Which occurrences skip a merge of their unit's cut without dropout. made: those merges, as merge_units gives them."""
+    out = np.zeros(len(agenda), bool)
+    if not made:
+        return out
+    owner, pair, place = (np.concatenate([x[k] for x in made]) for k in range(3))
+    order = np.argsort(owner, kind="stable")
+    pair, place = pair[order], place[order]
+    n = np.bincount(owner, minlength=units)
+    first = np.cumsum(n) - n
+    for lo in range(0, len(agenda), DRAWN_UNITS):
+        mine = unit[lo : lo + DRAWN_UNITS]
+        which = ragged(first[mine], n[mine])
+        by = np.repeat(np.arange(len(mine)), n[mine])
+        low = _drawn(agenda[lo : lo + DRAWN_UNITS][by], pair[which], place[which]) < _limit(dropout)
+        out[lo + by[low]] = True
+    return out
 
 
 def _to_ids(m: Model, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

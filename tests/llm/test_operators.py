@@ -144,6 +144,34 @@ def test_same_word_is_cut_in_several_ways():
     assert len(set(text)) > 3
 
 
+def _cuts(texts, keys, **how):
+    """The cut of every text's units, joined by text."""
+    m = sentencepiece_dropout.model()
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    tokens, offsets = sentencepiece_dropout.encode(data, at, np.array(keys).astype(U), m, **how)
+    return [tuple(tokens[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def test_dropout_is_drawn_for_every_occurrence(monkeypatch):
+    """With the operator's own parameters: shares of standard cuts, more than a few cuts of a unit, and the same cuts as without shared work."""
+    for word in ("the", "international", "international" * 5):
+        standard = _cuts([word], [0], dropout=0.0)[0]
+        cuts = collections.Counter(_cuts([word] * 3000, range(3000)))
+        made: list = []
+        raw = np.frombuffer((" " + word).encode(), np.uint8)
+        sentencepiece_dropout._cut(sentencepiece_dropout.model(), raw, np.array([0]), np.array([len(raw)]), np.zeros(1, U), 0.0, made)
+        share = 0.9 ** sum(len(x[0]) for x in made)
+        # other orders of merges can end in the same cut
+        assert cuts[standard] / 3000 > share - 0.04 and cuts[standard] < 3000
+        assert len(cuts) > (4 if len(word) > 3 else 1)
+    texts = [prose(300, 1), "日本語 🙂🙂\n\n a", "the the the", prose(300, 1), prose(300, 1)]
+    shared = _cuts(texts, [1, 2, 3, 1, 4])
+    assert shared[0] == shared[3] != shared[4]
+    monkeypatch.setattr(sentencepiece_dropout, "_skips", lambda agenda, *_: np.ones(len(agenda), bool))
+    assert _cuts(texts, [1, 2, 3, 1, 4]) == shared
+
+
 # ---- classifier ---------------------------------------------------------------------
 
 
