@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks, water
 from .graph import components
+from .neighbourhood import nearest
 from .runs import BUCKET_SHIFT, adjacency, perimeters
 
 
@@ -68,13 +69,29 @@ def segments(runs: DataFrame, key: str) -> DataFrame:
     return cells.select(key, "cx", F.shiftright("z", 2).alias("cz"), n.alias("n"))
 
 
-def accumulate(runs: DataFrame, cells: DataFrame, biomes: DataFrame, key: str = "id") -> DataFrame:
+#: Arid dry land lends its trait to water within so many cells.
+DRYLAND_RADIUS = 4
+
+
+def dryland(surface: DataFrame, biomes: DataFrame) -> DataFrame:
+    """(cx, cz) of the cells (cx, cz, biome) whose surface biome is arid land."""
+    arid = biomes.filter((F.col("family") == blocks.LAND) & blocks.has(F.col("traits"), blocks.DESERT)).select(F.col("name").alias("biome"))
+    return surface.join(arid, "biome", "left_semi").select("cx", "cz").distinct()
+
+
+def accumulate(runs: DataFrame, cells: DataFrame, biomes: DataFrame, key: str = "id", arid: DataFrame | None = None) -> DataFrame:
     """Additive sums of every region over its run-cell segments, so that merged regions add up.
 
     Shares of a segment's columns are rounded after single-precision division, as the file format expects.
+    arid: cells (cx, cz) of dryland(); water within DRYLAND_RADIUS of one counts as desert once, whatever its own biome.
     """
     dim = biomes.select(F.col("name").alias("biome"), "traits", "vegetation")
     rows = segments(runs, key).join(cells, ["cx", "cz"]).join(dim, "biome", "left")
+    desert = blocks.has(F.coalesce("traits", F.lit(0)), blocks.DESERT)
+    if arid is not None:
+        near = nearest(arid.select(F.col("cx").alias("x"), F.col("cz").alias("z")), DRYLAND_RADIUS).select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.lit(True).alias("near"))
+        rows = rows.join(near, ["cx", "cz"], "left")
+        desert = desert | F.coalesce("near", F.lit(False))
     n = F.col("n").cast("long")
     share = lambda c: F.round(F.least((F.col(c).cast("float") / F.col("water_cols").cast("float")).cast("float"), F.lit(1.0).cast("float")).cast("double") * n).cast("long")
     counted = lambda test: F.sum(F.when(test, n).otherwise(0))
@@ -87,7 +104,7 @@ def accumulate(runs: DataFrame, cells: DataFrame, biomes: DataFrame, key: str =
         F.sum(share("cave_cols")).alias("cave_columns"),
         *[counted(F.col("depth") > c).alias(f"over_{c}") for c in water.CONTOURS],
         F.sum(F.coalesce("vegetation", F.lit(blocks.SPARSE)) * n).alias("vegetation_sum"),
-        counted(blocks.has(F.coalesce("traits", F.lit(0)), blocks.DESERT)).alias("desert_columns"),
+        counted(desert).alias("desert_columns"),
         counted(blocks.has(F.coalesce("traits", F.lit(0)), blocks.MANGROVE)).alias("mangrove_columns"),
         counted(F.coalesce("coral", F.lit(False))).alias("coral_columns"),
         counted(F.coalesce("plants", F.lit(False))).alias("plant_columns"),

@@ -71,8 +71,8 @@ def kind_field(columns: DataFrame, cells: DataFrame, options: Options) -> DataFr
     return neighbourhood.majority(coded, frozen="still").select(F.col("x").alias("cx"), F.col("z").alias("cz"), "code")
 
 
-def analyze(columns: DataFrame, biomes: DataFrame, options: Options, caves_count: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(regions, runs) of water columns: id, kind, attributes; id, z, x0, x1."""
+def analyze(columns: DataFrame, biomes: DataFrame, options: Options, caves_count: bool = False, arid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(regions, runs) of water columns: id, kind, attributes; id, z, x0, x1. arid: cells of arid dry land."""
     columns = cut(columns)
     cells = cut(cells_of(columns, biomes, caves_count))
     field = cut(kind_field(columns, cells, options))
@@ -84,7 +84,7 @@ def analyze(columns: DataFrame, biomes: DataFrame, options: Options, caves_count
     group = cut(contraction.absorb_regions(nodes.drop("code"), runs.adjacency(pieces, "id"), options.min_water_body))
     own = cut(runs.coalesce_runs(pieces.drop("code").join(group.select("id", "group"), "id").drop("id").withColumnRenamed("group", "id"), "id"))
     heads = group.select(F.col("group").alias("id"), F.col("donor")).distinct().join(nodes.select(F.col("id").alias("donor"), "code"), "donor").select("id", parts.kind.alias("kind"), parts.temperature.alias("temperature"))
-    sums = cut(regions.accumulate(own, cells, biomes))
+    sums = cut(regions.accumulate(own, cells, biomes, arid=arid))
     final = cut(regions.finalize(sums.join(heads, "id")))
     shaped = cut(regions.shape_correct(final.select("id", "kind", F.col("modifiers").bitwiseAND(F.lit(16)).cast("boolean").alias("cave")), own))
     merged = cut(contraction.consolidate_regions(shaped.join(sums.select("id", F.col("columns").alias("size")), "id").select("id", "size", "kind", "cave"), runs.adjacency(own, "id"), options.min_river_merge, options.min_sea_merge))
@@ -117,7 +117,8 @@ def run(spark: SparkSession, options: Options) -> Result:
     if level is None:
         level = detect_sea_level(anvil.scan_world(spark, options.world, caves=options.include_deep_caves), biomes)
     columns = anvil.scan_world(spark, options.world, caves=not options.no_caves, min_y=None if cutoff is None else level - cutoff)
-    found, own = analyze(columns, biomes, options, caves_count=cutoff is None)
+    arid = regions.dryland(anvil.scan_surface(spark, options.world), biomes)
+    found, own = analyze(columns, biomes, options, caves_count=cutoff is None, arid=arid)
     return Result(found, own, level)
 
 

@@ -10,7 +10,7 @@ import gzip
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -244,10 +244,29 @@ def probe_columns(chunk: dict, caves: bool = True, min_y: int | None = None) ->
 COLUMNS = "x int, z int, surface_y int, floor_y int, ice boolean, covered boolean, coral boolean, plants boolean, biome string"
 
 
-def scan_world(spark: SparkSession, world: str, caves: bool = True, min_y: int | None = None) -> DataFrame:
-    """Water columns of all region files of a world. Unreadable chunks are passed over.
-
-    Chunks kept in side files (c.<x>.<z>.mcc) are joined by their name before decoding.
+def surface_biomes(chunk: dict) -> list[tuple]:
+    """(cx, cz, biome) at the surface of the first column of each 4x4 cell, in world cells; cells without one are left out."""
+    maps = chunk.get("Heightmaps", {})
+    top = heightmap(maps.get("MOTION_BLOCKING"))
+    top = heightmap(maps.get("WORLD_SURFACE")) if top is None else top
+    if top is None or not chunk.get("sections"):
+        return []
+    low, v = 16 * int(chunk.get("yPos", -4)), Volume(chunk)
+    base_x, base_z = 4 * int(chunk["xPos"]), 4 * int(chunk["zPos"])
+    found = []
+    for cell in range(16):
+        x, z = cell % 4 * 4, cell // 4 * 4
+        height = int(top[z * 16 + x])
+        name = v.biome(x, low + height - 1, z) if height else None
+        if name is not None:
+            found.append((base_x + cell % 4, base_z + cell // 4, name))
+    return found
+
+
+def _chunks(spark: SparkSession, world: str) -> DataFrame:
+    """(kind, payload) of all chunks of all region files of a world.
+
+    Chunks kept in side files (c.<x>.<z>.mcc) are joined by their name.
     """
     folder = f"{world.rstrip('/')}/region"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mca").load(folder).select("path", "content")
@@ -269,20 +288,35 @@ def scan_world(spark: SparkSession, world: str, caves: bool = True, min_y: int |
     outer = side.select(coords[0].alias("chunk_x"), coords[1].alias("chunk_z"), F.col("content").alias("payload"))
     whole = chunks.filter("not external").unionByName(chunks.filter("external").drop("payload").join(outer, ["chunk_x", "chunk_z"]))
 
+    return whole.select("kind", "payload")
+
+
+def _decoded(chunks: DataFrame, rows_of: Callable[[dict], list[tuple]], columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """The rows of all chunks that can be read."""
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        kinds = [pa.int32()] * 4 + [pa.bool_()] * 4 + [pa.string()]
+        names = [c.split()[0] for c in columns.split(", ")]
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 try:
                     chunk = parse_chunk(inflate(kind, payload))
                 except (ValueError, KeyError, OSError, zlib.error, EOFError):
                     continue
-                rows = probe_columns(chunk, caves, min_y) if chunk else []
+                rows = rows_of(chunk) if chunk else []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return whole.select("kind", "payload").mapInArrow(decode, COLUMNS)
+    return chunks.mapInArrow(decode, columns)
+
+
+def scan_world(spark: SparkSession, world: str, caves: bool = True, min_y: int | None = None) -> DataFrame:
+    """Water columns of all region files of a world. Unreadable chunks are passed over."""
+    return _decoded(_chunks(spark, world), lambda chunk: probe_columns(chunk, caves, min_y), COLUMNS, [pa.int32()] * 4 + [pa.bool_()] * 4 + [pa.string()])
+
+
+def scan_surface(spark: SparkSession, world: str) -> DataFrame:
+    """(cx, cz, biome): surface biome of the cells of all region files of a world. Unreadable chunks are passed over."""
+    return _decoded(_chunks(spark, world), surface_biomes, "cx int, cz int, biome string", [pa.int32()] * 2 + [pa.string()])
 
 
 def region_file(chunks: dict[int, bytes]) -> bytes:

@@ -1,6 +1,8 @@
 """A small world from region files to the binary file and back."""
 
 from isobath.__main__ import options
+from isobath.functions import biomes as biome_functions
+from isobath.operators import regions
 from isobath.options import Options
 from isobath.plans import analysis
 from isobath.sources import anvil, waterfile
@@ -22,6 +24,27 @@ def test_world_to_file(spark, tmp_path):
     assert file.region_at(-440, 50) not in (None, file.region_at(0, 0)) and file.region_at(100, 100) is None
 
 
+def test_arid_banks_count_for_neutral_water(spark):
+    """Cells within 4 of arid land count as desert, one whose own biome is desert once."""
+    biomes = biome_functions.biome_table(spark, [])
+    surface = spark.createDataFrame([(0, 0, "minecraft:desert"), (0, 40, "minecraft:desert"), (0, 80, "minecraft:plains")], "cx int, cz int, biome string")
+    arid = regions.dryland(surface, biomes)
+    assert sorted(map(tuple, arid.collect())) == [(0, 0), (0, 40)]
+    places = [(1, 4, 4, "minecraft:river"), (2, 5, 4, "minecraft:river"), (3, 1, 41, "minecraft:desert"), (4, 0, 81, "minecraft:river")]
+    cells = spark.createDataFrame([(cx, cz, b, 4, 0, 0, 60, 3, False, False) for _, cx, cz, b in places], "cx int, cz int, biome string, water_cols long, ice_cols long, cave_cols long, surface_y int, depth int, coral boolean, plants boolean")
+    own = spark.createDataFrame([(i, cz * 4, cx * 4, cx * 4 + 3) for i, cx, cz, _ in places], "id long, z int, x0 int, x1 int")
+    desert = lambda **how: {r.id: r.desert_columns for r in regions.accumulate(own, cells, biomes, **how).collect()}
+    assert desert(arid=arid) == {1: 4, 2: 0, 3: 4, 4: 0} and desert() == {1: 0, 2: 0, 3: 4, 4: 0}
+
+
+def test_surface_of_a_world(spark, tmp_path):
+    folder = tmp_path / "region"
+    folder.mkdir()
+    (folder / "r.-1.0.mca").write_bytes(anvil.region_file({31: chunk(-1, 0)}))
+    rows = anvil.scan_surface(spark, str(tmp_path)).collect()
+    assert sorted((r.cx, r.cz) for r in rows) == [(x, z) for x in range(-4, 0) for z in range(4)] and all(r.biome.startswith("minecraft:") for r in rows)
+
+
 def test_command_line():
     assert options(["--world", "w"]).min_river_merge == 20_000
     assert options(["--world", "w", "--no-caves", "--map-scale", "4"]).map_scale == 4
