@@ -18,10 +18,17 @@ def session(app: str = "isobath", master: str | None = None, shuffle_partitions:
 
 
 def ensure_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where it is unset, as in tests, a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir; a local session without one, as in tests, gets a temporary one.
+
+    On a cluster a machine's own folder would lose checkpoints, so there the setting is required.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isobath-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="isobath-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from isobath.operators import contraction, neighbourhood, regions, runs
+from isobath.operators import contraction, graph, neighbourhood, regions, runs
 from isobath.operators.graph import components
 from isobath.operators.verify import mask_difference
 
@@ -64,7 +64,7 @@ def test_majority_keeps_ties_and_frozen_cells(spark):
     assert got == {(0, 0): "a", (1, 0): "b", (2, 0): "b", (9, 9): "a", (10, 9): "b", (11, 9): "b"}
 
 
-def test_components_of_random_graphs(spark):
+def test_components_of_random_graphs(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
     up = list(range(60))
@@ -77,9 +77,12 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
-    for bound in (0, 1000):
-        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b", local_edges=bound).collect()}
+    for parts, lot in ((1, graph.LOT), (7, graph.LOT), (3, 8)):
+        monkeypatch.setattr(graph, "LOT", lot)
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(parts), "a", "b").collect()}
         assert got == {i: top(i) for e in edges if e[0] != e[1] for i in e}
+    chain = spark.range(0, 3000).selectExpr("cast(id as string) a", "cast(id + 1 as string) b").repartition(9)
+    assert components(chain, "a", "b").select("component").distinct().collect() == [("0",)]
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
