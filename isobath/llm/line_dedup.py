@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import bounded
 from .textkit import SPACE, Spans, U, lines, mix, per_text, salted, text_pieces
 
 #: One line in so many ends a chunk.
@@ -129,7 +128,7 @@ def _light(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     own = offsets[text]
                     yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids, pa.array((first - own).astype(np.int32)), pa.array((last - own).astype(np.int32))], ["fp", "id", "lo", "hi"])
 
-    return bounded(picked).mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), picked.schema["id"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    return picked.mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), picked.schema["id"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
@@ -200,7 +199,7 @@ def _cuts(spans: DataFrame) -> DataFrame:
             columns = [pa.array([[{f.name: s[f.name] for f in own.field(k + 1).type.value_type} for s in row[k]] for row in split], own.field(k + 1).type) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], own.names)
 
-    return bounded(spans.select("id", "spans")).mapInArrow(run, schema)
+    return spans.select("id", "spans").mapInArrow(run, schema)
 
 
 def _differing(joined: DataFrame, text_col: str) -> DataFrame:
@@ -221,7 +220,7 @@ def _differing(joined: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(take)), pa.array(tags), pa.array(keeps), pa.array(data, pa.binary())], ["key", "_id", "tag", "keeps", "data"])
 
     schema = T.StructType([T.StructField("key", T.StringType()), touched.schema["_id"], T.StructField("tag", T.StringType()), T.StructField("keeps", T.BooleanType()), T.StructField("data", T.BinaryType())])
-    found = bounded(touched).mapInArrow(run, schema)
+    found = touched.mapInArrow(run, schema)
     stays = found.filter("keeps").groupBy("key").agg(F.min("data").alias("stays"))
     others = found.filter("not keeps")
     return others.join(stays, "key", "left").filter(~F.col("data").eqNullSafe(F.col("stays"))).groupBy("_id").agg(F.collect_set("tag").alias("_differs"))
@@ -297,7 +296,7 @@ def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool
                 out[at] = pa.array(texts, text_type)
             yield pa.RecordBatch.from_arrays([*out, *([pa.array(gone), pa.array(lost)] if counted else [])], [*kept, *(n for n, _ in extra)])
 
-    return bounded(picked).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,45 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, ensure_checkpoint_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where a session names none (single-machine tests) a temporary one is set.
+    Only where a local session names none (single-machine tests) a temporary one is set.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(named)
-        return named
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="isobath-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    ensure_checkpoint_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to the shared folder and survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut(df)
+
+
+def grouped_tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Key values and rows of each group of rows that lie together by keys."""
+    now, waiting = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        own = list(zip(*columns, strict=True))
+        starts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if own[lo] != now and waiting:
+                yield now, pa.Table.from_batches(waiting)
+                waiting = []
+            now = own[lo]
+            waiting.append(batch.slice(lo, hi - lo))
+    if waiting:
+        yield now, pa.Table.from_batches(waiting)
+
+
+#: Parts that the rows of one key are dealt to where a key may hold any share of them.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row a key; rows of one key are dealt to SALTS tasks by the column spread."""
+    salt = free_name("_salt", [*rows.columns, *few.columns])
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{spread}`"), F.lit(13)), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
-#: Rows of an Arrow batch of texts: whole texts of any length are in it, so few of them bound a task's memory on both sides.
-BATCH_ROWS = 1000
+#: Bytes up to which a counted list of ids goes to every task; a longer one is met by a shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, whose session hands Python at most BATCH_ROWS rows at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def rows_of(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """rows whose id is in ids (distinct, settled); their texts are not shuffled if the ids are few."""
+    size = ids.agg(F.sum(F.octet_length(F.col(id_col).cast("string")) + 24)).first()[0] or 0
+    return rows.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, id_col, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -238,6 +238,54 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
     assert bagminhash.classify_rows(none).count() == 0
 
 
+def test_hot_bucket_of_unlike_copies(spark):
+    """A source, many copies linked to it, many too far from it and from each other, and pairs of those; blocks of few texts."""
+    own = np.random.default_rng(8)
+    source = prose(200, 4242).replace("\n", " ")
+    rows = [(0, source)]
+    rows += [(100 + k, edited(source, int(own.integers(1, 4)), k)) for k in range(60)]
+    far = [edited(source, int(own.integers(6, 16)), 900 + k) for k in range(60)]
+    rows += [(300 + k, t) for k, t in enumerate(far)] + [(500 + k, edited(t, 1, 77 + k)) for k, t in enumerate(far[:30])]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    expected = plain_classes(rows)
+    assert len(set(expected.values())) > 20
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert {r.id: r.class_id for r in bagminhash.classes(frame, block=500).collect()} == expected
+    text_ids = frame.selectExpr("cast(doc_id as string) doc_id", "text", "doc_id h1", "doc_id bucket", "doc_id class")
+    named = {r.doc_id: r.class_id for r in bagminhash.classify_rows(text_ids).collect()}
+    by = collections.defaultdict(set)
+    for i, c in expected.items():
+        by[c].add(str(i))
+    assert named == {i: min(group) for group in by.values() for i in group}
+
+
+def test_block_links_match_all_pairs():
+    own = np.random.default_rng(5)
+    for _ in range(30):
+        sets = [sorted(own.integers(0, 12, own.integers(1, 12)).tolist()) for _ in range(14)]
+        owner = np.repeat(np.arange(14), [len(x) for x in sets])
+        hashes = np.array([v for x in sets for v in x], U)
+        kinds = own.integers(0, 9, 14)
+        up = {int(k): int(k) for k in kinds}
+
+        def top(k, up=up):
+            return k if up[k] == k else top(up[k], up)
+
+        for a in range(14):
+            for b in range(a):
+                x, y = collections.Counter(sets[a]), collections.Counter(sets[b])
+                if sum((x & y).values()) >= 0.5 * sum((x | y).values()):
+                    i, j = top(int(kinds[a])), top(int(kinds[b]))
+                    up[max(i, j)] = min(i, j)
+        mine = {int(k): int(k) for k in kinds}
+        found = bagminhash.block_links(owner, hashes, kinds, np.ones(14, bool), None, 0.5)
+        for q, y in found:
+            i, j = top(int(kinds[q]), mine), top(int(kinds[y]), mine)
+            assert i != j
+            mine[max(i, j)] = min(i, j)
+        assert {k: top(k) for k in up} == {k: top(k, mine) for k in mine}
+
+
 def test_signatures_are_unbiased():
     errors = []
     for seed in range(40):
