@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .shared import grouped_tables, rows_of, salted_join, settle
+from .shared import few, grouped_tables, rows_of, salted_join, settle
 from .textkit import Spans, U, mix, salted, shingles, text_pieces, words
 
 WIDTH = 5
@@ -51,7 +51,7 @@ REGISTERS = 320
 BANDS = 40
 SIMILARITY = 0.8
 #: Windows of all texts of a block; a task of the last step holds two blocks.
-BLOCK = 500_000
+BLOCK = 200_000
 #: Pairs of a pivot that are dealt to one task.
 STAR = 256
 #: Bytes of texts that are signed at once.
@@ -358,7 +358,7 @@ def classify_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose class has a lesser id; rows without an id stay, repeated rows of the kept id count once."""
+    """docs without the rows whose class has a lesser id; rows without an id stay, and all rows of a kept id."""
     found = classes(docs, id_col, text_col, **how)
-    gone = found.filter("id <> class_id").select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = settle(found.filter("id <> class_id").select("id"))
+    return docs.join(few(gone.withColumnRenamed("id", id_col)), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

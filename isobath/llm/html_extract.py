@@ -8,7 +8,7 @@ labels, main and other, is trained by maximum likelihood (forward-backward gradi
 labelled pages that a seeded generator composes from many layouts, and decoded by Viterbi.
 
 Defined results. A null or empty html, and one without main blocks, give an empty text;
-cut-off markup is read as far as it goes; repeated rows give equal texts; an empty table gives an
+cut-off markup is read as far as it goes; time and memory grow with the length of a page, however deep it nests; repeated rows give equal texts; an empty table gives an
 empty result. Character references are decoded, white space in a block becomes one space,
 blocks are joined by one line feed; nothing is dropped or capped within a main block. Columns
 other than those named are not carried.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +43,8 @@ IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("
 STEMS = "nav menu header head masthead footer foot side aside ad ads advert banner sponsor promo notice cookie consent gdpr alert warn comment discuss respon reply form login sign search news subscri share social relat recommend breadcrumb pagin meta byline toc tag widget copyright legal popup modal skip article content main post entry body story text page blog".split()
 
 
-class Block:
-    __slots__ = ("path", "parts", "linked", "own")
-
-    def __init__(self, path: tuple, own: str):
-        self.path, self.own, self.parts, self.linked = path, own, [], 0
+#: Sections that the feature near tells apart.
+SECTIONS = frozenset("article main section aside nav header footer form".split())
 
 
 @lru_cache(maxsize=4096)
@@ -61,42 +58,95 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-def blocks_of(markup: str) -> list[tuple[tuple, str, str, int]]:
-    """(path, own element, text, letters in links) of every leaf block with text."""
-    out: list[tuple[tuple, str, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    now: Block | None = None
-    links = 0
-    position, size = 0, len(markup)
+class Path:
+    """The open elements, and how often each of their features is open; only known features are kept, so that a block costs the same at any depth."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known, self.names, self.features = known, [], []
+        self.depths: dict[str, list[int]] = {}
+        self.counts: dict[str, int] = {}
+        self.blocks: list[int] = []
+        self.sections: list[str] = []
+        self.now: frozenset[str] | None = None
+
+    def push(self, tag: str, attributes: str) -> None:
+        own: tuple[str, ...] = ()
+        if tag not in INLINE:
+            own = tuple(f for f in ("t:" + tag, *(_marks(attributes) if "=" in attributes else ())) if self.known is None or f in self.known)
+            for f in own:
+                self.counts[f] = self.counts.get(f, 0) + 1
+            self.blocks.append(len(self.names))
+            if tag in SECTIONS:
+                self.sections.append(tag)
+            self.now = None
+        self.depths.setdefault(tag, []).append(len(self.names))
+        self.names.append(tag)
+        self.features.append(own)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from depth on."""
+        for tag, own in zip(self.names[depth:], self.features[depth:], strict=True):
+            self.depths[tag].pop()
+            if tag not in INLINE:
+                for f in own:
+                    self.counts[f] -= 1
+                    if not self.counts[f]:
+                        del self.counts[f]
+                self.blocks.pop()
+                if tag in SECTIONS:
+                    self.sections.pop()
+                self.now = None
+        del self.names[depth:], self.features[depth:]
+
+    def find(self, tags: tuple[str, ...], stop: frozenset[str] | set[str] = frozenset(), inline: bool = False) -> int:
+        """Depth of the innermost open element of tags, -1 if none is open, one of stop lies inside it, or (inline) any block element does."""
+        depth = self.innermost(tags)
+        if self.innermost(stop) > depth or inline and self.blocks and self.blocks[-1] > depth:
+            return -1
+        return depth
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((own[-1] for t in tags if (own := self.depths.get(t))), default=-1)
+
+    def block(self) -> frozenset[str]:
+        """The features of the path that a block of text has here."""
+        if self.now is None:
+            own = self.names[self.blocks[-1]] if self.blocks else ""
+            last = self.features[self.blocks[-1]] if self.blocks else ()
+            self.now = frozenset([*self.counts, "own:" + own, "near:" + (self.sections[-1] if self.sections else "none"), *("last" + f for f in last if f[0] == "c")])
+        return self.now
+
+
+def blocks_of(markup: str, known: frozenset[str] | None = None) -> list[tuple[frozenset[str], str, int]]:
+    """(features of its path, text, letters in links) of every leaf block with text; of a path's features only known ones, if given."""
+    out: list[tuple[frozenset[str], str, int]] = []
+    path = Path(known)
+    where: frozenset[str] = frozenset()
+    parts: list[str] = []
+    linked, position, size = 0, 0, len(markup)
 
     def flush() -> None:
-        nonlocal now
-        if now is not None:
-            text = " ".join("".join(now.parts).split())
+        nonlocal linked
+        if parts:
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((now.path, now.own, text, now.linked))
-            now = None
-
-    def close(depth: int) -> None:
-        nonlocal links
-        for name, _ in stack[depth:]:
-            links -= name == "a"
-        del stack[depth:]
+                out.append((where, text, linked))
+            parts.clear()
+            linked = 0
 
     while position < size:
         token = _TOKEN.match(markup, position)
         piece = token[0]
         position = token.end()
         if piece[0] != "<" or piece == "<":
-            if now is None:
+            if not parts:
                 if piece.isspace():
                     continue
-                outer = tuple((n, c) for n, c in stack if n not in INLINE)
-                now = Block(outer, outer[-1][0] if outer else "")
+                where = path.block()
             piece = _html.unescape(piece) if "&" in piece else piece
-            now.parts.append(piece)
-            if links:
-                now.linked += len(piece)
+            parts.append(piece)
+            if path.depths.get("a"):
+                linked += len(piece)
             continue
         name = _NAME.match(piece)
         if not name:
@@ -105,65 +155,49 @@ def blocks_of(markup: str) -> list[tuple[tuple, str, str, int]]:
         if piece[1] == "/":
             if tag not in INLINE:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
+            depth = path.find((tag,))
+            if depth >= 0:
+                path.cut(depth)
             continue
         if tag == "br":
-            if now is not None:
-                now.parts.append("\n")
+            if parts:
+                parts.append("\n")
             continue
         if tag in RAW and tag != "head":
-            flush() if tag not in ("svg", "math") else None
+            if tag not in ("svg", "math"):
+                flush()
             if not piece.endswith("/>"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(markup, position)
+                end = _ends(tag).search(markup, position)
                 position = end.end() if end else size
             continue
         if tag not in INLINE:
             flush()
+            depth = -1
             if tag in CLOSES_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        close(depth)
-                        break
-                    if stack[depth][0] not in INLINE:
-                        break
+                depth = path.find(("p",), inline=True)
             elif tag in IMPLIED:
                 ends, stop = IMPLIED[tag]
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in ends.split():
-                        close(depth)
-                        break
-                    if stack[depth][0] in stop:
-                        break
+                depth = path.find(tuple(ends.split()), stop)
+            if depth >= 0:
+                path.cut(depth)
         if tag not in VOID and not piece.endswith("/>"):
-            stack.append((tag, _marks(piece) if "=" in piece else ()))
-            links += tag == "a"
+            path.push(tag, piece)
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple, own: str) -> tuple[str, ...]:
-    found = {"own:" + own}
-    for name, marks in path:
-        found.add("t:" + name)
-        found.update(marks)
-    last = [n for n, _ in path if n in ("article", "main", "section", "aside", "nav", "header", "footer", "form")]
-    found.add("near:" + (last[-1] if last else "none"))
-    if path and path[-1][1]:
-        found.update("last" + m for m in path[-1][1])
-    return tuple(sorted(found))
+@lru_cache(maxsize=64)
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
 
 
-def features(block: tuple[tuple, str, str, int], place: int, count: int) -> tuple[str, ...]:
-    path, own, text, linked = block
+def features(block: tuple[frozenset[str], str, int], place: int, count: int) -> tuple[str, ...]:
+    path, text, linked = block
     n = text.count(" ") + 1
     share = linked / max(1, len(text))
     return (
         "bias",
-        *_path_features(path, own),
+        *sorted(path),
         "n:" + ("1" if n < 2 else "3" if n < 4 else "8" if n < 9 else "20" if n < 21 else "more"),
         "links:" + ("0" if share == 0 else "some" if share < 0.5 else "most"),
         "end:" + ("stop" if text[-1] in ".!?:;\"')»”" else "open"),
@@ -293,7 +327,7 @@ def train(pages: int = 500, seed: int = 5, rounds: int = 160, ridge: float = 0.0
         found = blocks_of(page)
         left, own = list(main), []
         for b in found:
-            hit = bool(left) and " ".join(left[0].split()) == b[2]
+            hit = bool(left) and " ".join(left[0].split()) == b[1]
             own.append(int(hit))
             if hit:
                 left.pop(0)
@@ -353,11 +387,11 @@ def viterbi(scores: list[float], trans: list[list[float]]) -> list[int]:
 
 
 def main_text(markup: str | None, weights: dict[str, float], trans: list[list[float]]) -> str:
-    found = blocks_of(markup or "")
+    found = blocks_of(markup or "", frozenset(weights))
     n = len(found)
     get = weights.get
     scores = [sum(get(f, 0.0) for f in features(b, k, n)) for k, b in enumerate(found)]
-    return "\n".join(b[2] for b, y in zip(found, viterbi(scores, trans), strict=True) if y)
+    return "\n".join(b[1] for b, y in zip(found, viterbi(scores, trans), strict=True) if y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

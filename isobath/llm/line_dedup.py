@@ -17,8 +17,8 @@ rule one copy of every line stays.
 
 Plan: one light table of (fingerprint, id, place), combined to the fingerprints of
 several places; passages of one text that lie alike in the same other text are joined; the
-spans come back to their texts by one shuffle of texts by id; their bytes alone are
-shuffled for the comparison. ``removed_chunks`` counts chunks, ``removed_bytes`` all bytes.
+spans come back to their texts by one shuffle of texts by id; their bytes alone, equal ones
+combined first, are shuffled for the comparison. Copies of a frequent chunk are dealt to several tasks. ``removed_chunks`` counts chunks, ``removed_bytes`` all bytes.
 
 Defined results. A null id takes no part and its text is unchanged; a null or empty
 text is unchanged; rows that repeat an id are the same document, are treated alike
@@ -29,6 +29,7 @@ same name.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -39,15 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .shared import salted_join, settle
 from .textkit import SPACE, Spans, U, lines, mix, per_text, salted, text_pieces
 
 #: One line in so many ends a chunk.
 MEAN_LINES = 3
-MAX_LINES = 24
 LONG_WORDS = 50
 MIN_LINES = 2
 #: A remainder of fewer words is no document of its own.
 MIN_WORDS_LEFT = 10
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,10 +79,6 @@ def _chunks(spans: Spans, offsets: np.ndarray, starts: np.ndarray, ends: np.ndar
     last[firsts[1:] - 1] = True
     end = (rolled % U(MEAN_LINES) == 0) | long | last
     end[:-1] |= long[1:]
-    # no chunk is longer than MAX_LINES: the lines since the last end decide
-    place = np.arange(len(end))
-    since = place - np.maximum.accumulate(np.where(np.concatenate([[True], end[:-1]]), place, 0))
-    end |= since % MAX_LINES == MAX_LINES - 1
     stop = np.flatnonzero(end)
     start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else stop
     lo, hi = starts[start], ends[stop]
@@ -113,7 +111,7 @@ def _passages(spans: Spans, starts: np.ndarray, ends: np.ndarray, firsts: np.nda
 
 def _light(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(fp, id, lo, hi) of the candidates of texts with an id; places in bytes. A passage's fp is odd, a chunk's even."""
-    picked = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +129,10 @@ def _light(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), picked.schema["id"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 
 
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True, least_words: int = 0) -> DataFrame:
     """docs with repeated chunks and passages taken out of the text.
 
-    counted: adds ``removed_chunks`` and ``removed_bytes`` (long).
+    counted: adds ``removed_chunks`` and ``removed_bytes`` (long). Rows that lost any and have fewer than least_words left go.
     """
     light = _light(docs, id_col, text_col)
     # the first place of the least id; repeated rows of an id are the same place
@@ -142,17 +140,17 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spread = held.filter("n > 1").select("fp", F.col("first.id").alias("keeper"), F.col("first.lo").alias("from"))
     keeps = F.col("id") == F.col("keeper")
     spans = (
-        light.join(spread, "fp")
+        salted_join(light, spread, ["fp"], "id")
         .filter((F.col("fp").bitwiseAND(F.lit(1)) == 0) | ~keeps | (F.col("lo") != F.col("from")))
         .groupBy("id")
         .agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "fp", keeps.alias("keeps"), "keeper", "from"))).alias("spans"))
     )
     cuts = _cuts(spans)
     asked = cuts.select(F.explode("_outer").alias("p")).groupBy(F.col("p.keeper").alias("_id")).agg(F.sort_array(F.collect_set(F.struct(F.col("p.from").alias("from"), (F.col("p.hi") - F.col("p.lo")).alias("n")))).alias("_asked"))
-    joined = docs.withColumn("_id", F.col(id_col)).join(cuts, "_id", "left").join(asked, "_id", "left")
-    differs = _differing(joined, text_col)
-    marked = joined.join(differs, "_id", "left").drop("_id")
-    return _rewrite(marked, text_col, docs.columns, counted)
+    # the input's columns travel in one struct, so that none can clash with these
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = packed.join(cuts, "_id", "left").join(asked, "_id", "left")
+    return _rewrite(joined, _differing(joined, text_col), text_col, docs.schema, counted, least_words)
 
 
 def split_spans(spans: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
@@ -202,9 +200,12 @@ def _cuts(spans: DataFrame) -> DataFrame:
     return spans.select("id", "spans").mapInArrow(run, schema)
 
 
-def _differing(joined: DataFrame, text_col: str) -> DataFrame:
-    """(_id, _differs): chunks and passages whose bytes in that id are not those of the copy that stays; none, but for a hash collision."""
-    touched = joined.filter(F.col("_spans").isNotNull() | F.col("_asked").isNotNull()).select("_id", F.col(text_col).cast("string").alias("text"), "_spans", "_outer", "_asked")
+def _differing(joined: DataFrame, text_col: str) -> DataFrame | None:
+    """(_id, _differs): chunks and passages whose bytes in that id are not those of the copy that stays; None if there are none, as without a hash collision.
+
+    Equal bytes of a key are one row before they are shuffled, so copies of a frequent chunk do not meet in one task.
+    """
+    touched = joined.filter(F.col("_spans").isNotNull() | F.col("_asked").isNotNull()).select("_id", F.col("_row").getField(text_col).cast("string").alias("text"), "_spans", "_outer", "_asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,9 +222,13 @@ def _differing(joined: DataFrame, text_col: str) -> DataFrame:
 
     schema = T.StructType([T.StructField("key", T.StringType()), touched.schema["_id"], T.StructField("tag", T.StringType()), T.StructField("keeps", T.BooleanType()), T.StructField("data", T.BinaryType())])
     found = touched.mapInArrow(run, schema)
-    stays = found.filter("keeps").groupBy("key").agg(F.min("data").alias("stays"))
-    others = found.filter("not keeps")
-    return others.join(stays, "key", "left").filter(~F.col("data").eqNullSafe(F.col("stays"))).groupBy("_id").agg(F.collect_set("tag").alias("_differs"))
+    pieces = found.groupBy("key", "data").agg(F.bool_or("keeps").alias("keeps"), F.bool_or(~F.col("keeps")).alias("goes"))
+    # of the copies under a key that stay (rows that repeat an id), the least bytes are the ones that count
+    stays = F.min(F.when(F.col("keeps"), F.col("data")))
+    bad = settle(pieces.groupBy("key").agg(stays.alias("stays"), F.collect_list(F.when(F.col("goes"), F.col("data"))).alias("gone")).select("key", "stays", F.explode("gone").alias("data")).filter(~F.col("data").eqNullSafe(F.col("stays"))).select("key", "data"))
+    if bad.isEmpty():
+        return None
+    return found.filter("not keeps").join(bad, ["key", "data"], "left_semi").groupBy("_id").agg(F.collect_set("tag").alias("_differs"))
 
 
 def tag(piece: dict) -> str:
@@ -268,22 +273,22 @@ def cut_text(raw: bytes, spans: list[dict], inner: list[dict], outer: list[dict]
     return left, gone
 
 
-def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool) -> DataFrame:
+def _rewrite(joined: DataFrame, differing: DataFrame | None, text_col: str, columns: T.StructType, counted: bool, least_words: int) -> DataFrame:
+    marked = joined.withColumn("_differs", F.lit(None).cast("array<string>")) if differing is None else joined.join(differing, "_id", "left")
     extra = [("removed_chunks", T.LongType()), ("removed_bytes", T.LongType())] if counted else []
-    kept = [c for c in columns if c not in {n for n, _ in extra}]
-    picked = marked.select(*[F.col(f"`{c}`") for c in kept], "_spans", "_inner", "_outer", "_differs")
-    schema = marked.select(*[F.col(f"`{c}`") for c in kept]).schema
-    for name, kind in extra:
-        schema.add(name, kind)
-    at = kept.index(text_col)
-    text_type = pa.string()
+    names = {n for n, _ in extra}
+    kept = [i for i, f in enumerate(columns) if f.name.lower() not in names]
+    schema = T.StructType([*(columns[i] for i in kept), *(T.StructField(n, k) for n, k in extra)])
+    at = [columns[i].name for i in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            touched = np.flatnonzero(np.array(batch.column("_spans").is_valid()))
-            texts = batch.column(at).to_pylist() if len(touched) else None
-            gone, lost = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            *places, differs = (batch.column(c) for c in ("_spans", "_inner", "_outer", "_differs"))
+            row, *places, differs = batch.columns
+            fields = row.flatten()
+            out = [fields[i] for i in kept]
+            touched = np.flatnonzero(np.array(places[0].is_valid()))
+            texts = out[at].to_pylist() if len(touched) else None
+            gone, lost, stays = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
             for i in touched:
                 if texts[i] is None:
                     continue
@@ -291,22 +296,15 @@ def _rewrite(marked: DataFrame, text_col: str, columns: list[str], counted: bool
                 left, gone[i] = cut_text(raw, *(p[int(i)].as_py() for p in places), set(differs[int(i)].as_py() or ()))
                 lost[i] = len(raw) - len(left)
                 texts[i] = left.decode()
-            out = list(batch.columns[: len(kept)])
+                stays[i] = not lost[i] or len(_WORD.findall(left)) >= least_words
             if texts is not None:
-                out[at] = pa.array(texts, text_type)
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array(gone), pa.array(lost)] if counted else [])], [*kept, *(n for n, _ in extra)])
+                out[at] = pa.array(texts, pa.string())
+            done = pa.RecordBatch.from_arrays([*out, *([pa.array(gone), pa.array(lost)] if counted else [])], schema.names)
+            yield done if stays.all() else done.filter(pa.array(stays))
 
-    return picked.mapInArrow(run, schema)
+    return marked.select("_row", "_spans", "_inner", "_outer", "_differs").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated chunks and passages taken out; rows that lost any and have under MIN_WORDS_LEFT words left go, others stay, with all columns."""
-    counts = {"chunks": "removed_chunks", "bytes": "removed_bytes"}
-    if clash := {c.lower() for c in docs.columns} & set(counts.values()):
-        return remove_repeated_chunks(docs.withColumnsRenamed({c: c + "_" for c in docs.columns if c.lower() in clash}), id_col, text_col).filter(_left(text_col)).drop(*counts.values()).withColumnsRenamed({c + "_": c for c in docs.columns if c.lower() in clash})
-    return remove_repeated_chunks(docs, id_col, text_col).filter(_left(text_col)).drop(*counts.values())
-
-
-def _left(text_col: str):
-    word = r"[^\x20\x09-\x0D]+"
-    return (F.col("removed_bytes") == 0) | F.col(text_col).rlike(rf"(?:{word}[\x20\x09-\x0D]+){{{MIN_WORDS_LEFT - 1}}}{word}")
+    return remove_repeated_chunks(docs, id_col, text_col, counted=False, least_words=MIN_WORDS_LEFT)

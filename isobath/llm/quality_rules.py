@@ -1,27 +1,32 @@
 """Quality rules: base counts of every whole text and robust multivariate outliers (minimum covariance determinant).
 
-Counts are taken by one vectorised pass. Five transformed statistics (root rates
+Counts are taken by one vectorised pass. Six transformed statistics (root rates
 and a log mean, each steadied by a prior of a few words, so that short texts are
 not outliers for being short) form a vector per text. For each language and
-source the minimum-covariance-determinant estimate is found from a deterministic
-robust start by concentration steps: half-sample-type subsets of the smallest
-Mahalanobis distances, their mean and covariance, again. A last step reweights.
-Texts whose squared distance passes a chi-square quantile are rejected.
+source the minimum-covariance-determinant estimate is sought from three deterministic
+starts (medians with deviations from them; spatial signs; tanh correlations) by concentration
+steps: the ``KEEP`` share of the smallest Mahalanobis distances, their mean and covariance, again. After
+two steps the start of the least determinant goes on until no group's determinant falls. A last step
+reweights. Texts whose squared distance passes a chi-square quantile are rejected.
 
-All steps are grouped aggregations with map-side combination over a table of a
-few numbers per text; a group's estimate is one row. Groups of under ``MIN_ROWS``
-texts are estimated together with the other small ones of their language, and
-these, if still too few, with those of other languages.
+Every group has ``PRIOR`` rows of its language's moments added, and every language as many of all rows', so that
+groups of any size, down to one row, are treated by the same rule.
+
+Medians and distance quantiles are exact on a fixed grid (``GRID`` steps a unit, ``RINGS`` rings an octave): counts of
+grid cells are added up, so they do not depend on partitions. All steps are grouped aggregations with map-side
+combination over a table of a few numbers per text; a group's estimate is one row, met by a broadcast if the groups are
+counted to be few, else by a join that deals a group's rows to several tasks.
 
 Defined results. A null text counts as empty; null language and source are values
 of their own; repeated rows are counted and judged like others; an empty table
-gives an empty result. Columns of the input are kept as they are, and one that is
+gives an empty result. Columns of the input are kept as they are, whatever their names, but one that is
 called like the result column is replaced by it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from .shared import free_name, settle
+from .shared import salted_join, settle, shared_folder
 from .textkit import SPACE, Spans, earlier, lines, per_text, shingles, text_pieces, words
 
 MIN_WORDS = 10
@@ -40,8 +46,16 @@ REPEAT_WIDTH = 5
 FLOORS = (0.06, 0.06, 0.15, 0.15, 0.06, 0.06)
 #: The share of a group that a concentration step keeps.
 KEEP = 0.75
-C_STEPS = 3
-MIN_ROWS = 50
+STARTS = 3
+#: Rows of the language's moments that are added to a group, and of all rows' to a language.
+PRIOR = 50.0
+GRID = 512
+RINGS = 32
+#: Fall of the log determinant that is none, and the steps after which the search is given up as an error.
+STILL = 1e-3
+MOST_STEPS = 100
+#: Groups up to which the estimates are broadcast; a group's row has about 1 kB.
+BROADCAST_GROUPS = 20_000
 #: The chance of a larger squared distance at the cutoff, for a normal vector.
 TAIL = 1e-9
 
@@ -91,22 +105,20 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", out: str = "_stats", keep_text: bool = False) -> DataFrame:
-    """docs with a struct column of STATS; without the text unless keep_text."""
-    kept = [c for c in docs.columns if c.lower() != out.lower() and (keep_text or c != text_col)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
-    schema.add(out, T.StructType([T.StructField(c, T.LongType()) for c in STATS]))
-    position, places = docs.columns.index(text_col), [docs.columns.index(c) for c in kept]
+def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(_row, _stats): a struct of docs' columns, without the text unless keep_text, and a struct of STATS."""
+    kept = [f for f in docs.schema if keep_text or f.name != text_col]
+    packed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = T.StructType([packed.schema["_row"], T.StructField("_stats", T.StructType([T.StructField(c, T.LongType()) for c in STATS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_pieces(batch.column(position)):
+            for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 counts = count_texts(data, offsets)
                 struct = pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(len(STATS))], list(STATS))
-                rows = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*map(rows.column, places), struct], [*kept, out])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), struct], ["_row", "_stats"])
 
-    return docs.mapInArrow(run, schema)
+    return packed.mapInArrow(run, schema)
 
 
 def base_failed(stats: str):
@@ -170,32 +182,62 @@ def consistency(share: float, k: int = DIM) -> float:
     return share / chi2_cdf(chi2_quantile(share, k), k + 2)
 
 
+UPPER = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+#: Places of a moment row: the count, the sums, the products of UPPER.
+MOMENTS = 1 + DIM + len(UPPER)
+
+
+def _sums(values: list) -> F.Column:
+    """The moment row of some columns."""
+    return F.array(F.count("*").cast("double"), *[F.sum(x) for x in values], *[F.sum(values[i] * values[j]) for i, j in UPPER])
+
+
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("m")[k]) for k in range(MOMENTS)]).alias("m"))
+
+
+def unpacked(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and covariances of moment rows."""
+    n = np.maximum(m[:, 0], 1e-300)
+    mean = m[:, 1 : 1 + DIM] / n[:, None]
+    second = np.zeros((len(m), DIM, DIM))
+    for k, (i, j) in enumerate(UPPER):
+        second[:, i, j] = second[:, j, i] = m[:, 1 + DIM + k] / n
+    return m[:, 0], mean, second - mean[:, :, None] * mean[:, None, :]
+
+
+def with_prior(own: np.ndarray, language: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Moment rows of groups with PRIOR rows of their languages' added, these with PRIOR rows of all."""
+    wide = language + PRIOR * every / np.maximum(every[:, :1], 1)
+    return own + PRIOR * wide / np.maximum(wide[:, :1], 1)
+
+
+_ESTIMATE = "g string, l string, start int, mu array<double>, inv array<double>, det double"
+
+
+def _estimate_rows(g, l, start, mean: np.ndarray, cov: np.ndarray) -> pa.RecordBatch:
+    flat = np.linalg.inv(cov).reshape(-1, DIM * DIM)
+    return pa.RecordBatch.from_arrays([g, l, start, pa.array(list(mean), pa.list_(pa.float64())), pa.array(list(flat), pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1])], ["g", "l", "start", "mu", "inv", "det"])
+
+
 def _estimates(moments: DataFrame, factor: float) -> DataFrame:
-    """(g, n, s, ss) of sums to (g, mu, inv): the mean and the inverse covariance, floored and made consistent."""
+    """(g, l, start, m) to estimates: the mean, the inverse covariance, floored and made consistent, and its log determinant."""
+    moments = settle(moments)
+    language, every = _added(moments, "l", "start"), _added(moments, "start")
+    wide = moments.join(language.withColumnRenamed("m", "ml"), ["l", "start"]).join(F.broadcast(every.withColumnRenamed("m", "ma")), "start").select("g", "l", "start", "m", "ml", "ma")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = np.maximum(np.array(batch.column("n"), float), 1)
-            s = np.array(batch.column("s").to_pylist(), float) / n[:, None]
-            ss = np.array(batch.column("ss").to_pylist(), float).reshape(-1, DIM, DIM) / n[:, None, None]
-            cov = (ss - s[:, :, None] * s[:, None, :]) * factor + np.diag(np.square(FLOORS))
-            inv = np.linalg.inv(cov).reshape(-1, DIM * DIM)
-            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(list(s)), pa.array(list(inv))], ["g", "mu", "inv"])
-
-    return moments.mapInArrow(run, "g string, mu array<double>, inv array<double>")
+            if batch.num_rows:
+                own, lang, every = (np.array(batch.column(c).to_pylist(), float) for c in ("m", "ml", "ma"))
+                _, mean, cov = unpacked(with_prior(own, lang, every))
+                yield _estimate_rows(*(batch.column(c) for c in ("g", "l", "start")), mean, cov * factor + np.diag(np.square(FLOORS)))
 
+    return settle(wide.mapInArrow(run, _ESTIMATE))
 
-def _moments(rows: DataFrame) -> DataFrame:
-    v = [F.col("v")[k] for k in range(DIM)]
-    sums = [F.sum(x) for x in v]
-    squares = [F.sum(v[i] * v[j]) for i in range(DIM) for j in range(DIM)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), F.array(*sums).alias("s"), F.array(*squares).alias("ss"))
 
-
-def _distance():
-    d = [F.col("v")[k] - F.col("mu")[k] for k in range(DIM)]
+def _distance(v: str = "v"):
+    d = [F.col(v)[k] - F.col("mu")[k] for k in range(DIM)]
     terms = [d[i] * d[j] * F.col("inv")[i * DIM + j] for i in range(DIM) for j in range(DIM)]
     total = terms[0]
     for t in terms[1:]:
@@ -203,63 +245,125 @@ def _distance():
     return total
 
 
-def _groups(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, g) for every pair: its own group, its language's rest, or the rest of all."""
-    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-    pairs = rows.groupBy(value(lang).alias("_l"), value(source).alias("_s")).count()
-    rest = pairs.filter(F.col("count") < MIN_ROWS).groupBy("_l").agg(F.sum("count").alias("rest"))
-    return pairs.join(rest, "_l", "left").select(
-        "_l",
-        "_s",
-        F.when(F.col("count") >= MIN_ROWS, F.concat_ws("\x1f", "_l", "_s")).when(F.col("rest") >= MIN_ROWS, F.concat_ws("\x1f", "_l", F.lit("*"))).otherwise("*").alias("g"),
-    )
+def _ring(d2: F.Column) -> F.Column:
+    """The number of a squared distance's ring; rings widen with the distance."""
+    return F.floor(F.log2(1 + F.least(F.greatest(d2, F.lit(0.0)), F.lit(1e12))) * RINGS)
 
 
-def _with_group(rows: DataFrame, groups: DataFrame, lang: str, source: str) -> DataFrame:
-    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-    return rows.withColumns({"_l": value(lang), "_s": value(source)}).join(groups, ["_l", "_s"]).drop("_l", "_s")
+def _quantile(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """keys and the least bin up to which at least the share of their rows lies. rows: keys and bin."""
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    own = W.partitionBy(*keys)
+    placed = counts.select(*keys, "bin", F.sum("n").over(own.orderBy("bin")).alias("below"), F.sum("n").over(own).alias("all"))
+    return placed.filter(F.col("below") >= F.ceil(share * F.col("all"))).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
-def fit(stats: DataFrame, lang: str = "lang", source: str = "source", out: str = "_stats") -> tuple[DataFrame, DataFrame]:
-    """The estimates (g, mu, inv) of every group, and the group of every language and source.
+class Groups:
+    """The rows (g, l, v) of sound texts, and the way to bring a row of each group to them."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = settle(rows)
+        self.few = self.rows.select("g").distinct().count() <= BROADCAST_GROUPS
+
+    def meet(self, rows: DataFrame, per_group: DataFrame, spread: str = "v") -> DataFrame:
+        return rows.join(F.broadcast(per_group), "g", "left") if self.few else salted_join(rows, per_group, ["g"], spread, "left")
+
+
+def _middles(groups: Groups, centre: DataFrame | None = None) -> DataFrame:
+    """(g, med): the medians of each statistic, or of its distance from a centre, at the middle of a grid step."""
+    rows = groups.rows.select("g", "v") if centre is None else groups.meet(groups.rows.select("g", "v"), centre)
+    values = [F.col("v")[k] if centre is None else F.abs(F.col("v")[k] - F.col("med")[k]) for k in range(DIM)]
+    cells = rows.select("g", F.posexplode(F.array(*[F.floor(x * GRID) for x in values])).alias("k", "bin"))
+    found = _quantile(cells, ["g", "k"], 0.5)
+    return settle(found.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "bin"))).alias("m")).select("g", F.transform("m", lambda x: (x["bin"] + 0.5) / GRID).alias("med")))
 
-    Texts that fail the base rules take no part.
-    """
-    sound = settle(stats.filter(~base_failed(out)).select(lang, source, F.array(*_vector(out)).alias("v")))
-    groups = settle(_groups(stats, lang, source))
-    rows = _with_group(sound, groups, lang, source).select("g", "v")
-    middle = rows.groupBy("g").agg(F.array(*[F.percentile_approx(F.col("v")[k], 0.5, 2000) for k in range(DIM)]).alias("mu"))
-    spread = rows.join(middle, "g").groupBy("g").agg(
-        F.first("mu").alias("mu"),
-        F.array(*[F.percentile_approx(F.abs(F.col("v")[k] - F.col("mu")[k]), 0.5, 2000) for k in range(DIM)]).alias("mad"),
-    )
-    diagonal = [1 / (F.pow(1.4826 * F.col("mad")[i], 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]
-    estimate = settle(spread.select("g", "mu", F.array(*diagonal).alias("inv")))
-    for step in range(C_STEPS + 1):
-        near = rows.join(estimate, "g").withColumn("d2", _distance())
-        if step < C_STEPS:
-            bound = near.groupBy("g").agg(F.percentile_approx("d2", KEEP, 2000).alias("most"))
-            near, factor = near.join(bound, "g").filter(F.col("d2") <= F.col("most")), consistency(KEEP)
-        else:
-            near, factor = near.filter(F.col("d2") <= chi2_quantile(0.975, DIM)), consistency(0.975)
-        estimate = settle(_estimates(_moments(near), factor))
-    return estimate, groups
+
+def _starts(groups: Groups) -> DataFrame:
+    """The estimates of every group from the three starts."""
+    centre = _middles(groups)
+    spread = _middles(groups, centre)
+    both = settle(centre.join(spread.withColumnRenamed("med", "mad"), "g"))
+    rows = groups.meet(groups.rows, both)
+    z = [(F.col("v")[k] - F.col("med")[k]) / F.sqrt(F.pow(1.4826 * F.col("mad")[k], 2) + FLOORS[k] ** 2) for k in range(DIM)]
+    rows = rows.select("g", "l", F.array(*z).alias("z"))
+    norm = F.sqrt(F.greatest(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-12)))
+    signs, bent = [F.col("z")[k] / F.col("norm") for k in range(DIM)], [F.tanh(F.col("z")[k]) for k in range(DIM)]
+    moments = rows.withColumn("norm", norm).groupBy("g", "l").agg(_sums(signs).alias("signs"), _sums(bent).alias("bent"))
+    wide = moments.join(both, "g").select("g", "l", "signs", "bent", "med", "mad")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs, bent, med, mad = (np.array(batch.column(c).to_pylist(), float) for c in ("signs", "bent", "med", "mad"))
+            scale = np.sqrt(np.square(1.4826 * mad) + np.square(FLOORS))
+            n, mean, cov = unpacked(signs)
+            # spatial signs: their second moments about the centre, of trace 1
+            shapes = [np.broadcast_to(np.eye(DIM), cov.shape), DIM * (cov + mean[:, :, None] * mean[:, None, :])]
+            _, _, cov = unpacked(bent)
+            deviation = np.sqrt(np.maximum(np.einsum("nii->ni", cov), 1e-12))
+            shapes.append(cov / deviation[:, :, None] / deviation[:, None, :])
+            for k, shape in enumerate(shapes):
+                steady = 0.9 * shape + 0.1 * np.eye(DIM)
+                yield _estimate_rows(batch.column("g"), batch.column("l"), pa.array([k] * len(n), pa.int32()), med, steady * scale[:, :, None] * scale[:, None, :])
+
+    return settle(wide.mapInArrow(run, _ESTIMATE))
+
+
+def _concentrated(groups: Groups, estimates: DataFrame) -> DataFrame:
+    """One concentration step of every group's estimates (g, l, start, ...)."""
+    per_group = estimates.groupBy("g").agg(F.collect_list(F.struct("start", "mu", "inv")).alias("e"))
+    near = groups.meet(groups.rows, per_group).select("g", "l", "v", F.explode("e").alias("e")).select("g", "l", "v", "e.start", "e.mu", "e.inv")
+    near = near.select("g", "l", "v", "start", _ring(_distance()).alias("bin"))
+    most = settle(_quantile(near.select("g", "start", "bin"), ["g", "start"], KEEP).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "bin"))).alias("most")))
+    inner = groups.meet(near, most).filter(F.col("bin") <= F.col("most")[F.col("start")])
+    return _estimates(inner.groupBy("g", "l", "start").agg(_sums([F.col("v")[k] for k in range(DIM)]).alias("m")), consistency(KEEP))
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, Groups]:
+    """The estimates (g, mu, inv) of all groups of rows (g, l, v)."""
+    groups = Groups(rows)
+    now = _starts(groups)
+    for _ in range(2):
+        now = _concentrated(groups, now)
+    now = settle(now.groupBy("g", "l").agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("e")).select("g", "l", "e.*"))
+    for _ in range(MOST_STEPS):
+        new = _concentrated(groups, now)
+        both = now.join(new.select("g", F.col("start").alias("s"), F.struct("mu", "inv", "det").alias("new")), "g").withColumn("falls", F.col("new.det") < F.col("det") - STILL)
+        taken = lambda c: F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+        after = settle(both.select("g", "l", "start", taken("mu"), taken("inv"), taken("det"), "falls"))
+        now = after.drop("falls")
+        if after.filter("falls").isEmpty():
+            break
+    else:
+        raise RuntimeError("the determinants did not settle")
+    near = groups.meet(groups.rows, now.select("g", "mu", "inv")).filter(_distance() <= chi2_quantile(0.975, DIM))
+    last = near.groupBy("g", "l").agg(_sums([F.col("v")[k] for k in range(DIM)]).alias("m")).withColumn("start", F.lit(0))
+    return _estimates(last, consistency(0.975)).select("g", "mu", "inv"), groups
+
+
+def _key(column: F.Column) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("-"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", out: str = "quality", keep_text: bool = True) -> DataFrame:
     """docs with a struct ``out``: the counts, base_failed, the squared distance d2 and the verdict kept.
 
-    Without keep_text the texts are read once and are not in the result.
+    The texts are read once: docs with their counts are written to the shared folder. Without keep_text the texts are not in
+    the result, and only the other columns are written. A language or source without a sound text is judged by the base rules alone.
     """
-    hidden = free_name("_stats", docs.columns)
-    light = settle(with_counts(docs.select(*docs.columns) if not keep_text else docs.select(text_col, lang, source), text_col, hidden))
-    estimate, groups = fit(light, lang, source, hidden)
-    rows = with_counts(docs, text_col, hidden, keep_text=True) if keep_text else light
-    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-    kept = [c for c in docs.columns if c.lower() != out.lower() and (keep_text or c != text_col)]
-    wide = groups.join(estimate, "g", "left").select(F.col("_l"), F.col("_s"), "mu", "inv")
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(hidden).alias("_stats"), value(lang).alias("_l"), value(source).alias("_s"))
-    judged = packed.join(wide, ["_l", "_s"], "left").withColumn("v", F.array(*_vector("_stats"))).withColumn("d2", _distance())
+    counted = with_counts(docs, text_col, keep_text)
+    if keep_text:
+        place = f"{shared_folder(docs.sparkSession).rstrip('/')}/counted-{uuid.uuid4().hex}"
+        counted.write.parquet(place)
+        counted = docs.sparkSession.read.schema(counted.schema).parquet(place)
+    else:
+        counted = settle(counted)
+    keys = {"l": _key(F.col("_row").getField(lang)), "s": _key(F.col("_row").getField(source))}
+    keyed = counted.select("_row", "_stats", keys["l"].alias("l"), F.concat_ws("\x1f", keys["l"], keys["s"]).alias("g"), F.array(*_vector("_stats")).alias("v"))
+    estimates, groups = fit(keyed.filter(~base_failed("_stats")).select("g", "l", "v"))
+    judged = groups.meet(keyed, estimates).withColumn("d2", _distance())
     good = ~base_failed("_stats") & F.coalesce(F.col("d2") <= chi2_quantile(1 - TAIL, DIM), F.lit(True))
     verdict = F.struct(*[F.col(f"_stats.{c}").alias(c) for c in STATS], base_failed("_stats").alias("base_failed"), F.col("d2"), good.alias("kept"))
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in kept], verdict.alias(out))
+    kept = [c for c in docs.columns if c.lower() != out.lower() and (keep_text or c != text_col)]
+    return judged.select(*[F.col("_row").getField(c).alias(c) for c in kept], verdict.alias(out))

@@ -12,7 +12,8 @@ unit, place in it, the two symbols) falls below the dropout; a new neighbour mak
 candidate. So dropout is drawn for every occurrence of a unit, and equally on every run.
 The distinct units of a block of texts are first cut without dropout; an occurrence that
 skips none of the merges made there has that cut, as merges that are not made change nothing. All other
-occurrences are processed together, one merge of every unit at a step.
+occurrences are processed together, one merge of every unit at a step; a long unit has a heap of its own,
+so that its time grows with its length but for a logarithm.
 
 Letters outside the vocabulary become byte pieces, and so does a literal space mark,
 wherefore decoding gives back every text. Decoding joins the pieces' bytes.
@@ -24,8 +25,9 @@ empty result. Other columns are not carried.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ DROPOUT = 0.1
 VARIANTS = 0
 #: Occurrences drawn at once.
 DRAWN_UNITS = 200_000
+#: Units of more letters have an agenda each (a heap), shorter ones are merged side by side; the cuts are the same.
+LONG_UNIT = 100
 SEED = 2024
 MARK = "▁"
 
@@ -96,6 +100,21 @@ class Model:
                 home += 1
             self.slots[home] = k
 
+    @cached_property
+    def _numbers(self) -> dict[int, int]:
+        return dict(zip(self.pair.tolist(), range(len(self.pair)), strict=True))
+
+    @cached_property
+    def ranks(self) -> list[int]:
+        return self.rank.tolist()
+
+    @cached_property
+    def pieces(self) -> list[int]:
+        return self.piece.tolist()
+
+    def pair_number(self, left: int, right: int) -> int:
+        return self._numbers.get((left << 20) | right, -1) if left >= 0 and right >= 0 else -1
+
     def _home(self, pairs: np.ndarray) -> np.ndarray:
         return ((pairs.astype(U) * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -127,6 +146,14 @@ def _drawn(keys: np.ndarray, pairs: np.ndarray, places: np.ndarray) -> np.ndarra
     return mix(keys + pairs.astype(U) * U(0xD1342543DE82EF95) + places.astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def _drawn_one(key: int, pair: int, place: int) -> int:
+    """_drawn of one candidate, in whole numbers."""
+    x = (key + pair * 0xD1342543DE82EF95 + place * 0x9E3779B97F4A7C15) & (2**64 - 1)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (2**64 - 1)
+    return x ^ x >> 31
+
+
 def _limit(dropout: float) -> U:
     return U(min(int(dropout * 2.0**64), 2**64 - 1))
 
@@ -144,7 +171,7 @@ def merge_units(m: Model, codes: np.ndarray, firsts: np.ndarray, keys: np.ndarra
     out = np.empty(len(lengths), object)
     counts = np.zeros(len(lengths), np.int64)
     order = np.argsort(lengths, kind="stable")
-    bounds = np.searchsorted(lengths[order], [0, 2, 4, 6, 8, 10, 13, 16, 20, 26, 34, 50, 100, 1000, 10**7, 10**12])
+    bounds = np.searchsorted(lengths[order], [0, 2, 4, 6, 8, 10, 13, 16, 20, 26, 34, 50, LONG_UNIT + 1, 10**12])
     results, places = [], []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         for a in range(lo, hi, 60_000):
@@ -155,9 +182,14 @@ def merge_units(m: Model, codes: np.ndarray, firsts: np.ndarray, keys: np.ndarra
             else:
                 parts = [rows] if len(rows) else []
             for part in parts:
-                symbols, live = _merge_block(m, flat, firsts, lengths, part, keys, dropout, made)
-                results.append(symbols[live])
-                counts[part] = live.sum(1)
+                if width > LONG_UNIT:
+                    cut = [_merge_long(m, flat[firsts[k] : firsts[k + 1]], int(k), int(keys[k]), dropout, made) for k in part]
+                    results.extend(cut)
+                    counts[part] = [len(c) for c in cut]
+                else:
+                    symbols, live = _merge_block(m, flat, firsts, lengths, part, keys, dropout, made)
+                    results.append(symbols[live])
+                    counts[part] = live.sum(1)
                 places.append(part)
     del out
     if not results:
@@ -227,6 +259,49 @@ def _merge_block(m: Model, flat: np.ndarray, firsts: np.ndarray, lengths: np.nda
     return symbols, live
 
 
+def _merge_long(m: Model, symbols: np.ndarray, unit: int, key: int, dropout: float, made: list | None = None) -> np.ndarray:
+    """Pieces of one unit of any length: a heap of candidate merges by rank, leftmost first; entries of symbols that have changed are passed over."""
+    n = len(symbols)
+    here, limit = symbols.tolist(), int(_limit(dropout))
+    following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = m.lookup(symbols[:-1], symbols[1:])
+    at = np.flatnonzero(pair >= 0)
+    if dropout > 0:
+        at = at[_drawn(np.full(len(at), key, U), pair[at], at) >= U(limit)]
+    # the pair that a place stands for now; -1: none, or skipped for good
+    current = np.full(n, -1, np.int64)
+    current[at] = pair[at]
+    current = current.tolist()
+    agenda = list(zip(m.rank[pair[at]].tolist(), at.tolist(), pair[at].tolist(), strict=True))
+    heapq.heapify(agenda)
+    merges = []
+
+    def consider(c: int) -> None:
+        k = m.pair_number(here[c], here[following[c]]) if following[c] < n else -1
+        if k >= 0 and dropout > 0 and _drawn_one(key, k, c) < limit:
+            k = -1
+        current[c] = k
+        if k >= 0:
+            heapq.heappush(agenda, (m.ranks[k], c, k))
+
+    while agenda:
+        _, c, k = heapq.heappop(agenda)
+        if current[c] != k:
+            continue
+        merges.append((k, c))
+        gone = following[c]
+        here[c], here[gone], current[gone] = m.pieces[k], None, -1
+        following[c] = after = following[gone]
+        if after < n:
+            preceding[after] = c
+        consider(c)
+        if preceding[c] >= 0:
+            consider(preceding[c])
+    if made is not None and merges:
+        made.append((np.full(len(merges), unit), np.array([k for k, _ in merges]), np.array([c for _, c in merges])))
+    return np.array([s for s in here if s is not None], np.int64)
+
+
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte of every unit of texts that begin with the dummy space, and units before each text."""
     space, feed = data == 32, data == 10

@@ -56,14 +56,26 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, h
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
-#: Bytes up to which a counted list of ids goes to every task; a longer one is met by a shuffle.
+#: Bytes up to which a counted table goes to every task; a larger one is met by a shuffle.
 BROADCAST_BYTES = 32_000_000
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its values are counted to be BROADCAST_BYTES or less. It is read for that, so it should be settled."""
+
+    def size(name: str, kind: str):
+        column = F.col(f"`{name}`")
+        if kind.startswith("array"):
+            return F.coalesce(F.size(column), F.lit(0)) * 32 + 16
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16)
+
+    total = sum((size(*t) for t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def rows_of(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """rows whose id is in ids (distinct, settled); their texts are not shuffled if the ids are few."""
-    size = ids.agg(F.sum(F.octet_length(F.col(id_col).cast("string")) + 24)).first()[0] or 0
-    return rows.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, id_col, "left_semi")
+    return rows.join(few(ids), id_col, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

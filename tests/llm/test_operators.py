@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -136,6 +137,29 @@ def test_encoding_of_rows(docs, none):
     assert sentencepiece_dropout.encode_texts(none).count() == 0
 
 
+def test_long_units_are_cut_like_short_ones(monkeypatch):
+    """The heap and the side-by-side agenda give the same pieces and merges, and time grows with the length."""
+    own = np.random.default_rng(3)
+    texts = ["".join(own.choice(list("abcdeistnr日ü"), int(n))) for n in own.integers(60, 260, 40)] + ["x" * 400, "inter" * 60]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        monkeypatch.setattr(sentencepiece_dropout, "LONG_UNIT", 10)
+        heap = _cuts(texts, range(len(texts)), dropout=dropout)
+        monkeypatch.setattr(sentencepiece_dropout, "LONG_UNIT", 100)
+        mixed = _cuts(texts, range(len(texts)), dropout=dropout)
+        monkeypatch.setattr(sentencepiece_dropout, "LONG_UNIT", 1000)
+        assert _cuts(texts, range(len(texts)), dropout=dropout) == heap == mixed
+    monkeypatch.setattr(sentencepiece_dropout, "LONG_UNIT", 100)
+    import time
+
+    taken = []
+    for n in (20_000, 160_000):
+        text = "".join(own.choice(list("abcdeistnr"), n))
+        begin = time.perf_counter()
+        assert len(_cuts([text], [1])[0]) > n / 8
+        taken.append(time.perf_counter() - begin)
+    assert taken[1] < 25 * max(taken[0], 0.1)
+
+
 def test_same_word_is_cut_in_several_ways():
     m = sentencepiece_dropout.model()
     data = np.frombuffer(b" international" * 200, np.uint8)
@@ -314,6 +338,29 @@ def test_main_text_of_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_deep_pages_cost_time_in_proportion():
+    import time
+    import tracemalloc
+
+    inner = "<article><p>Some text of an article that goes on.</p>"
+    for opened in ("<div>", "<b><div class='nav x'>", "<x{}>", "<li><ul>"):
+        page = "<p>" + "".join(opened.replace("{}", str(k)) + "<i>text</i> </s><hr><div/>" for k in range(4_000)) + inner
+        tracemalloc.start()
+        begin = time.perf_counter()
+        assert "Some text of an article that goes on." in extract(page) or len(html_extract.blocks_of(page, frozenset())) > 1
+        spent, most = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert spent < 10 and most < 40e6, (opened, spent, most)
+
+
+def test_closed_elements_take_their_features_along():
+    page = "<nav class=menu><ul><li><a href=x>one<b>two</nav><main><p>three<li>four</main>five</x></nav>"
+    blocks = html_extract.blocks_of(page)
+    assert [(b[1], b[2]) for b in blocks] == [("onetwo", 6), ("three", 0), ("four", 0), ("five", 0)]
+    assert blocks[0][0] == {"t:nav", "c:nav", "c:menu", "t:ul", "t:li", "own:li", "near:nav"} - {"c:nav"}
+    assert blocks[1][0] == {"t:main", "t:p", "own:p", "near:main"} and blocks[3][0] == {"own:", "near:none"}
+
+
 def test_held_out_pages_are_labelled_well():
     own, hit, total = np.random.default_rng(321), 0, 0
     for _ in range(120):
@@ -361,9 +408,29 @@ def test_damaged_archives_are_refused():
     import gzip
 
     raw = gzip.compress(warc.record_bytes(1, "u", b"payload", "0" * 64, None))
-    assert [warc.parse_record(c)["block"] for *_, c in warc.members(raw)] == [b"payload"]
+    assert [warc.parse_record(c)["block"] for *_, c in warc.members(io.BytesIO(raw * 3))] == [b"payload"] * 3
+    assert [a for a, *_ in warc.members(io.BytesIO(raw * 3))] == [0, len(raw), 2 * len(raw)]
     with pytest.raises((ValueError, zlib.error)):
-        list(warc.members(raw[:-9]))
+        list(warc.members(io.BytesIO(raw[:-9])))
+
+
+@pytest.mark.parametrize("url", ["http://[abc/x", "http://[::1]:80/x", "//", "", "?", "http://a b/\x00", "x" * 5000, "http://user@[", "::::", "http://h#?q"])
+def test_any_address_has_a_key(url):
+    assert ")" in warc.url_key(url) and "#" not in warc.url_key(url)
+
+
+def test_malformed_addresses_are_archived(spark, tmp_path):
+    rows = [(k, url, f"<p>{k}") for k, url in enumerate(["http://[abc/x", "", None, "http://ok.org/a", "http://[abc/x"])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page: r.url_key for r in warc.archive_pages(frame, folder=str(tmp_path / "w")).collect()}
+    assert got == {k: warc.url_key(url or "") for k, url, _ in rows}
+    # what a lost attempt leaves behind is not read
+    (tmp_path / "w" / "stale.warc.gz").write_bytes(b"no archive")
+    records = warc.plan_records(frame)
+    manifest = warc.write_archives(records, str(tmp_path / "w"), most=1)
+    read = warc.read_archives(manifest, str(tmp_path / "w"), payload=True).collect()
+    assert sorted((r.page, bytes(r.payload)) for r in read) == [(k, html.encode()) for k, _, html in rows] and manifest.count() == 5
+    assert [r.history_rank for r in warc.merge_index(warc.read_archives(manifest, str(tmp_path / "w")), per_range=1).orderBy("url_key", "time").collect()] == list(range(5))
 
 
 # ---- line chunks --------------------------------------------------------------------
@@ -393,8 +460,12 @@ def test_line_chunks_match_brute_force(spark, docs, none):
     by = {r.doc_id: r for r in got}
     assert by[0].text == rows[0][1] and all(len(by[k].text) < len(rows[k][1]) - 400 for k in range(1, 6))
     assert line_dedup.without_repeats(none).count() == 0
-    clash = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "removed_chunks")
-    assert line_dedup.without_repeats(clash).columns == clash.columns
+    names = {"n_chars": "_id", "lang": "_spans", "source": "removed_chunks"}
+    clash = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed(names).selectExpr("*", "1 _differs", "2 `_row`", "3 `a.b`", "4 Removed_Bytes", "5 _inner", "6 _outer")
+    left = line_dedup.without_repeats(clash)
+    assert left.columns == clash.columns
+    plain = line_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).withColumnsRenamed(names)
+    assert collections.Counter(left.select(plain.columns).collect()) == collections.Counter(plain.collect())
 
 
 def test_repeated_passages_go_whole(spark):
@@ -455,13 +526,53 @@ def test_decontamination(spark, none):
         swapped[k] = "zzz"
     rows = [(1, prose(50, 1) + " " + items[0][1].upper() + "\n" + prose(30, 2)), (2, prose(30, 3) + " " + " ".join(swapped)), (3, prose(80, 4)), (4, "x Only, THREE words! y"), (5, None), (6, ""), (7, " ".join(items[1][1].split()[:8])), (None, items[2][1]), (1, prose(50, 1) + " " + items[0][1])]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (decontaminate.BLOCK_HASHES, 130):
-        got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark, block_hashes=size).collect())
-        assert got == {(1, 0): 2, (2, 0): 1, (4, 10): 1, (None, 2): 1}
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark).collect())
+    assert got == {(1, 0): 2, (2, 0): 1, (4, 10): 1, (None, 2): 1}
+    # equal items are one, by any type of id, and whatever the columns are called
+    named = benchmark.union(benchmark).selectExpr("cast(item_id + 0.5 as decimal(9,1)) key", "text passage", "1 doc", "2 hits")
+    texts = frame.selectExpr("to_date('2024-01-01') + cast(doc_id as int) hash", "text item", "3 _key", "4 text")
+    assert collections.Counter(str(r.key) for r in decontaminate.contaminated(texts, named, "hash", "item", "key", "passage").collect()) == {"0.5": 3, "10.5": 1, "2.5": 1}
+    left = decontaminate.drop_contaminated(texts, named, "hash", "item", "key", "passage")
+    assert left.columns == texts.columns and left.count() == 4
     assert {r.doc_id for r in decontaminate.drop_contaminated(frame, benchmark).collect()} == {3, 5, 6, 7}
     assert decontaminate.contaminated(none, benchmark).count() == 0 and decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def test_letters_of_any_script_are_lowered_alike(spark):
+    words = ["ΟΔΟΣ0", "ΛΟΓΟΣ1", "İSTANBUL", "ΑΣ", "ÉTÉ", "STRASSE", "ẞ", "Ⅷ", "DŽ", "ІНША"] * 2
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words) + " y"), (3, "other text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(rows, benchmark).collect()) == [1, 2]
+
+
+def test_repetitive_items_are_checked_in_lots(monkeypatch):
+    monkeypatch.setattr(decontaminate, "LOT", 50)
+    h = _hashes([["a"] * 60])[0]
+    seeds, place, _ = decontaminate.seeds_of(h)
+    hits = [(int(x), p) for x, p in zip(seeds.view(np.int64), place, strict=True)][:30]
+    shifts = decontaminate.diagonals(hits, (seeds.view(np.int64), place))
+    expected = {p - int(q) for x, p in hits for y, q in zip(seeds.view(np.int64), place, strict=True) if x == y}
+    assert set(shifts.tolist()) == expected
+    assert decontaminate.best_overlap(h, h, shifts) == (60, 0, 60)
+
+
+def findings(hashes, firsts, sought):
+    """(text, item) -> equal tokens, by seeds and diagonals."""
+    bits, out = 18, {}
+    sieve = np.zeros(1 << bits - 3, np.uint8)
+    for item in sought:
+        head = (decontaminate.seeds_of(item)[0] >> U(64 - bits)).astype(np.int64)
+        np.bitwise_or.at(sieve, head >> 3, (1 << (head & 7)).astype(np.uint8))
+    text, place, h = decontaminate.places(hashes, firsts, decontaminate.ALL_MASKS, sieve, bits)
+    for t in range(len(firsts) - 1):
+        hits = list(zip(h[text == t].view(np.int64).tolist(), place[text == t].tolist(), strict=True))
+        for k, item in enumerate(sought):
+            seeds, at, _ = decontaminate.seeds_of(item)
+            if matched := decontaminate.best_overlap(hashes[firsts[t] : firsts[t + 1]], item, decontaminate.diagonals(hits, (seeds.view(np.int64), at)))[0]:
+                out[t, k] = matched
+    return out
+
+
 def _hashes(rows):
     texts = [" ".join(r).encode() for r in rows]
     return decontaminate.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts]))
@@ -496,8 +607,7 @@ def test_whatever_is_enough_has_a_seed(length):
                 matched = decontaminate.best_run(hashes[lo:hi] == sought[item][lo - shift : hi - shift])[2] if hi > lo else 0
                 if decontaminate.enough(matched, length):
                     expected[t, item] = max(matched, expected.get((t, item), 0))
-    found = decontaminate.findings(hashes, firsts, decontaminate.index([(k, " ".join(x)) for k, x in enumerate(items)]))
-    assert {(t, item): matched for t, item, _, _, matched in found} == expected and expected
+    assert findings(hashes, firsts, sought) == expected and expected
 
 
 # ---- language model -----------------------------------------------------------------
