@@ -15,14 +15,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from isobath.llm import bagminhash, decontaminate, line_dedup, quality_rules, sentencepiece_dropout
-from isobath.llm.shared import shared_folder, table
+from isobath.llm.shared import free_name, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(docs, out="_quality")
-    return judged.filter("_quality.kept").select(*docs.columns)
+    verdict = free_name("_quality", docs.columns)
+    judged = quality_rules.judge(docs, out=verdict)
+    return judged.filter(F.col(verdict).getField("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bagminhash.keep_one(docs).select(*docs.columns)
+    return bagminhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
