@@ -14,8 +14,8 @@ groups of any size, down to one row, are treated by the same rule.
 
 Medians and distance quantiles are exact on a fixed grid (``GRID`` steps a unit, ``RINGS`` rings an octave): counts of
 grid cells are added up, so they do not depend on partitions. All steps are grouped aggregations with map-side
-combination over a table of a few numbers per text; a group's estimate is one row, met by a broadcast if the groups are
-counted to be few, else by a join that deals a group's rows to several tasks.
+combination over a table of a few numbers per text. If the groups are counted to be few (BROADCAST_GROUPS), their estimates are
+parameters of the tasks, else rows of tables, met by joins that deal a group's rows to several tasks; the rules are the same.
 
 Defined results. A null text counts as empty; null language and source are values
 of their own; repeated rows are counted and judged like others; an empty table
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,6 +279,16 @@ def _middles(groups: Groups, centre: DataFrame | None = None) -> DataFrame:
     return settle(found.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "bin"))).alias("m")).select("g", F.transform("m", lambda x: (x["bin"] + 0.5) / GRID).alias("med")))
 
 
+def start_shapes(signs: np.ndarray, bent: np.ndarray) -> np.ndarray:
+    """[group, start]: correlation matrices of no correlation, of spatial signs (moments about the centre, of trace 1) and of bent scores, steadied."""
+    _, mean, cov = unpacked(signs)
+    by_sign = DIM * (cov + mean[:, :, None] * mean[:, None, :])
+    _, _, cov = unpacked(bent)
+    deviation = np.sqrt(np.maximum(np.einsum("nii->ni", cov), 1e-12))
+    shapes = [np.broadcast_to(np.eye(DIM), cov.shape), by_sign, cov / deviation[:, :, None] / deviation[:, None, :]]
+    return 0.9 * np.stack(shapes, 1) + 0.1 * np.eye(DIM)
+
+
 def _starts(groups: Groups) -> DataFrame:
     """The estimates of every group from the three starts."""
     centre = _middles(groups)
@@ -297,15 +308,9 @@ def _starts(groups: Groups) -> DataFrame:
                 continue
             signs, bent, med, mad = (np.array(batch.column(c).to_pylist(), float) for c in ("signs", "bent", "med", "mad"))
             scale = np.sqrt(np.square(1.4826 * mad) + np.square(FLOORS))
-            n, mean, cov = unpacked(signs)
-            # spatial signs: their second moments about the centre, of trace 1
-            shapes = [np.broadcast_to(np.eye(DIM), cov.shape), DIM * (cov + mean[:, :, None] * mean[:, None, :])]
-            _, _, cov = unpacked(bent)
-            deviation = np.sqrt(np.maximum(np.einsum("nii->ni", cov), 1e-12))
-            shapes.append(cov / deviation[:, :, None] / deviation[:, None, :])
-            for k, shape in enumerate(shapes):
-                steady = 0.9 * shape + 0.1 * np.eye(DIM)
-                yield _estimate_rows(batch.column("g"), batch.column("l"), pa.array([k] * len(n), pa.int32()), med, steady * scale[:, :, None] * scale[:, None, :])
+            shapes = start_shapes(signs, bent)
+            for k in range(STARTS):
+                yield _estimate_rows(batch.column("g"), batch.column("l"), pa.array([k] * len(med), pa.int32()), med, shapes[:, k] * scale[:, :, None] * scale[:, None, :])
 
     return settle(wide.mapInArrow(run, _ESTIMATE))
 
@@ -320,12 +325,11 @@ def _concentrated(groups: Groups, estimates: DataFrame) -> DataFrame:
     return _estimates(inner.groupBy("g", "l", "start").agg(_sums([F.col("v")[k] for k in range(DIM)]).alias("m")), consistency(KEEP))
 
 
-def fit(rows: DataFrame) -> tuple[DataFrame, Groups]:
-    """The estimates (g, mu, inv) of all groups of rows (g, l, v)."""
-    groups = Groups(rows)
+def _fit_many(groups: Groups) -> DataFrame:
+    """The estimates (g, mu, inv) of any number of groups, in tables."""
     now = _starts(groups)
-    for _ in range(2):
-        now = _concentrated(groups, now)
+    now = _concentrated(groups, now)
+    now = _concentrated(groups, now)
     now = settle(now.groupBy("g", "l").agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("e")).select("g", "l", "e.*"))
     for _ in range(MOST_STEPS):
         new = _concentrated(groups, now)
@@ -338,8 +342,145 @@ def fit(rows: DataFrame) -> tuple[DataFrame, Groups]:
     else:
         raise RuntimeError("the determinants did not settle")
     near = groups.meet(groups.rows, now.select("g", "mu", "inv")).filter(_distance() <= chi2_quantile(0.975, DIM))
-    last = near.groupBy("g", "l").agg(_sums([F.col("v")[k] for k in range(DIM)]).alias("m")).withColumn("start", F.lit(0))
-    return _estimates(last, consistency(0.975)).select("g", "mu", "inv"), groups
+    last = near.groupBy("g", "l").agg(_sums([F.col("v")[k] for k in range(DIM)]).alias("m"))
+    # a group none of whose rows is near has the moments of no rows
+    none = now.select("g", "l", F.array(*[F.lit(0.0)] * MOMENTS).alias("m"))
+    return _estimates(_added(last.unionByName(none), "g", "l").withColumn("start", F.lit(0)), consistency(0.975)).select("g", "mu", "inv")
+
+
+def moment_rows(values: np.ndarray) -> np.ndarray:
+    """One moment row for each row of values; rows add up."""
+    return np.concatenate([np.ones((len(values), 1)), values, np.stack([values[:, i] * values[:, j] for i, j in UPPER], 1)], 1)
+
+
+def squared_distances(v: np.ndarray, mu: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    d = v - mu
+    return np.einsum("ni,nij,nj->n", d, inv, d)
+
+
+def rings(d2: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(1 + np.clip(d2, 0, 1e12)) * RINGS).astype(np.int64)
+
+
+class FewGroups:
+    """Steps over all rows for groups that are few: their estimates are arrays on the driver and parameters of the tasks; counts and moments are added up by Spark."""
+
+    def __init__(self, groups: Groups):
+        self.rows = groups.rows
+        # at most BROADCAST_GROUPS rows
+        found = sorted((r.g, r.l) for r in self.rows.select("g", "l").distinct().collect())
+        self.names, self.n = [g for g, _ in found], len(found)
+        languages = {x: k for k, x in enumerate(sorted({x for _, x in found}))}
+        self.language = np.array([languages[x] for _, x in found], np.int64)
+
+    def _each(self, work, schema: str) -> DataFrame:
+        """work(group numbers, vectors) of each batch, as columns of schema."""
+        names = pa.array(self.names, pa.string())
+        fields = [f.split()[0] for f in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own = pc.index_in(batch.column("g"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if c.ndim == 1 else pa.array(list(c)) for c in work(own, batch.column("v").flatten().to_numpy().reshape(-1, DIM))], fields)
+
+        return self.rows.select("g", "v").mapInArrow(run, schema)
+
+    def quantile(self, cells, most: int, share: float) -> np.ndarray:
+        """For each group and number below most the bin of the share; cells(groups, vectors) gives numbers and bins, one column a number."""
+
+        def work(own: np.ndarray, v: np.ndarray) -> tuple:
+            bins = cells(own, v)
+            key = (np.repeat(own, most) * most + np.tile(np.arange(most), len(own))) << 32 | (bins.ravel() + (1 << 31))
+            key, n = np.unique(key, return_counts=True)
+            return key >> 32, (key & 0xFFFFFFFF) - (1 << 31), n
+
+        counts = self._each(work, "k long, bin long, n long").groupBy("k", "bin").agg(F.sum("n").alias("n"))
+        own = W.partitionBy("k")
+        placed = counts.select("k", "bin", F.sum("n").over(own.orderBy("bin")).alias("below"), F.sum("n").over(own).alias("all"))
+        found = placed.filter(F.col("below") >= F.ceil(share * F.col("all"))).groupBy("k").agg(F.min("bin").alias("bin")).toArrow()
+        out = np.zeros(self.n * most, np.int64)
+        out[np.array(found["k"], np.int64)] = np.array(found["bin"], np.int64)
+        return out.reshape(self.n, most)
+
+    def moments(self, values, most: int) -> np.ndarray:
+        """Summed moment rows of each group and number below most; values(groups, vectors) gives for each number the values and which of them count."""
+
+        groups = self.n
+
+        def work(own: np.ndarray, v: np.ndarray) -> tuple:
+            out = np.zeros((groups * most, MOMENTS))
+            for k, (x, counts) in enumerate(values(own, v)):
+                np.add.at(out, own[counts] * most + k, moment_rows(x[counts]))
+            some = np.flatnonzero(out[:, 0])
+            return some, out[some]
+
+        found = self._each(work, "k long, m array<double>").groupBy("k").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(MOMENTS)]).alias("m")).toArrow()
+        out = np.zeros((self.n * most, MOMENTS))
+        out[np.array(found["k"], np.int64)] = np.array(found["m"].to_pylist(), float).reshape(-1, MOMENTS)
+        return out.reshape(self.n, most, MOMENTS)
+
+    def estimates(self, own: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means, inverse covariances and log determinants of moment rows [group, start]."""
+        wide = np.zeros((int(self.language.max(initial=-1)) + 1, *own.shape[1:]))
+        np.add.at(wide, self.language, own)
+        flat = lambda m: m.reshape(-1, MOMENTS)
+        every = np.broadcast_to(own.sum(0), own.shape)
+        _, mean, cov = unpacked(with_prior(flat(own), flat(wide[self.language]), flat(every)))
+        cov = cov * factor + np.diag(np.square(FLOORS))
+        return mean.reshape(*own.shape[:2], DIM), np.linalg.inv(cov).reshape(*own.shape[:2], DIM, DIM), np.linalg.slogdet(cov)[1].reshape(own.shape[:2])
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        med = (self.quantile(lambda own, v: np.floor(v * GRID).astype(np.int64), DIM, 0.5) + 0.5) / GRID
+        mad = (self.quantile(lambda own, v: np.floor(np.abs(v - med[own]) * GRID).astype(np.int64), DIM, 0.5) + 0.5) / GRID
+        scale = np.sqrt(np.square(1.4826 * mad) + np.square(FLOORS))
+
+        def values(own: np.ndarray, v: np.ndarray) -> list:
+            z = (v - med[own]) / scale[own]
+            every = np.ones(len(own), bool)
+            return [(z / np.sqrt(np.maximum((z * z).sum(1, keepdims=True), 1e-12)), every), (np.tanh(z), every)]
+
+        both = self.moments(values, 2)
+        cov = start_shapes(both[:, 0], both[:, 1]) * scale[:, None, :, None] * scale[:, None, None, :]
+        return np.repeat(med[:, None], STARTS, 1), np.linalg.inv(cov)
+
+    def concentrated(self, mu: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = mu.shape[1]
+        ring = lambda own, v: np.stack([rings(squared_distances(v, mu[own, s], inv[own, s])) for s in range(k)], 1)
+        most = self.quantile(ring, k, KEEP)
+        return self.estimates(self.moments(lambda own, v: [(v, b <= most[own, s]) for s, b in enumerate(ring(own, v).T)], k), consistency(KEEP))
+
+
+def _fit_few(few: FewGroups) -> tuple[np.ndarray, np.ndarray]:
+    """Means and inverse covariances of all groups."""
+    mu, inv = few.starts()
+    for _ in range(2):
+        mu, inv, det = few.concentrated(mu, inv)
+    best = np.argmin(det, 1)[:, None]
+    mu, inv, det = (np.take_along_axis(x, best.reshape(-1, 1, *[1] * (x.ndim - 2)), 1) for x in (mu, inv, det))
+    for _ in range(MOST_STEPS):
+        new = few.concentrated(mu, inv)
+        falls = new[2] < det - STILL
+        mu, inv, det = (np.where(falls.reshape(-1, 1, *[1] * (x.ndim - 2)), y, x) for x, y in zip((mu, inv, det), new, strict=True))
+        if not falls.any():
+            break
+    else:
+        raise RuntimeError("the determinants did not settle")
+    bound = chi2_quantile(0.975, DIM)
+    last = few.moments(lambda own, v: [(v, squared_distances(v, mu[own, 0], inv[own, 0]) <= bound)], 1)
+    mu, inv, _ = few.estimates(last, consistency(0.975))
+    return mu[:, 0], inv[:, 0]
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, Groups]:
+    """The estimates (g, mu, inv) of all groups of rows (g, l, v)."""
+    groups = Groups(rows)
+    if not groups.few:
+        return _fit_many(groups), groups
+    few = FewGroups(groups)
+    mu, inv = _fit_few(few) if few.n else (np.zeros((0, DIM)), np.zeros((0, DIM, DIM)))
+    table = pa.table({"g": pa.array(few.names, pa.string()), "mu": pa.array(list(mu), pa.list_(pa.float64())), "inv": pa.array(list(inv.reshape(-1, DIM * DIM)), pa.list_(pa.float64()))})
+    return rows.sparkSession.createDataFrame(table), groups
 
 
 def _key(column: F.Column) -> F.Column:

@@ -101,6 +101,47 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert all(judged[k] for k in range(150)) and not any(judged[k] for k in judged if k >= 1000)
 
 
+def plain_estimate(v, others):
+    """The least determinant over all starts and ever more random ones, by sorting; without prior rows."""
+    own = np.random.default_rng(4)
+    floor, h = np.diag(np.square(quality_rules.FLOORS)), int(np.ceil(quality_rules.KEEP * len(v)))
+    best = (np.inf, None)
+    for _ in range(60):
+        keep = own.choice(len(v), 8, replace=False)
+        for _ in range(60):
+            mean, cov = v[keep].mean(0), np.cov(v[keep].T, bias=True) * quality_rules.consistency(quality_rules.KEEP) + floor
+            d = np.einsum("ni,ij,nj->n", v - mean, np.linalg.inv(cov), v - mean)
+            keep = np.argsort(d, kind="stable")[:h]
+        best = min(best, (np.linalg.slogdet(np.cov(v[keep].T, bias=True) * quality_rules.consistency(quality_rules.KEEP) + floor)[1], tuple(keep)))
+    return best[0]
+
+
+def test_estimates_reach_the_least_determinant(spark, monkeypatch):
+    """Against brute force from many random starts, with few groups and by tables; groups of one row and of none sound have a result."""
+    own = np.random.default_rng(9)
+    mix_ = own.normal(size=(6, 6)) * 0.3
+    v = own.normal(size=(400, 6)) @ mix_
+    v[:90] = v[:90] * 0.2 + 6
+    rows = [("a", "x", r.tolist()) for r in v] + [("b", "x", [0.5] * 6), ("c", "y", [0.1] * 6)]
+    frame = spark.createDataFrame(rows, "g string, l string, v array<double>").repartition(3)
+    monkeypatch.setattr(quality_rules, "PRIOR", 1e-9)
+    groups = quality_rules.Groups(frame)
+    few = quality_rules.FewGroups(groups)
+    mu, inv = few.starts()
+    for _ in range(12):
+        mu, inv, det = few.concentrated(mu, inv)
+    assert det[0].min() <= plain_estimate(v, None) + 0.05
+    monkeypatch.setattr(quality_rules, "PRIOR", 50.0)
+    got = {r.g: (np.array(r.mu), np.array(r.inv)) for r in quality_rules.fit(frame)[0].collect()}
+    assert np.abs(got["a"][0]).max() < 0.5 and set(got) == {"a", "b", "c"}
+    out = np.einsum("ni,ij,nj->n", v - got["a"][0], got["a"][1].reshape(6, 6), v - got["a"][0]) > quality_rules.chi2_quantile(1 - quality_rules.TAIL, 6)
+    assert out[:90].all() and not out[90:].any()
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    many = {r.g: (np.array(r.mu), np.array(r.inv)) for r in quality_rules.fit(frame)[0].collect()}
+    for g in got:
+        assert np.allclose(got[g][0], many[g][0], atol=0.02) and np.allclose(got[g][1], many[g][1], rtol=0.1, atol=0.5)
+
+
 def test_chi_square_functions():
     assert abs(quality_rules.chi2_quantile(0.95, 2) - 5.991) < 1e-3 and abs(quality_rules.chi2_cdf(7.815, 3) - 0.95) < 1e-4
 
