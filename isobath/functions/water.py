@@ -80,10 +80,6 @@ def demote(vegetation: Column) -> Column:
     return F.greatest(vegetation - 1, F.lit(0))
 
 
-def run_length() -> Column:
-    return F.col("x1") - F.col("x0") + 1
-
-
 def mean_width(area: Column, perimeter: Column) -> Column:
     return F.when(perimeter > 0, 2.0 * area / perimeter).otherwise(0.0)
 
@@ -100,16 +96,3 @@ def is_bank(area: Column, perimeter: Column, contact: Column) -> Column:
 
 def accepts(y: Column, min_y: int | None) -> Column:
     return F.lit(True) if min_y is None else y >= min_y
-
-
-def id_color(region: Column) -> Column:
-    """0xRRGGBB of a region number: golden-ratio hues, in whole numbers of HSV sextants."""
-    hue = (region * 0.61803398875) % 1.0 * 6.0
-    sextant, part = F.floor(hue).cast("int"), hue - F.floor(hue)
-    value, saturation = 0.9, 0.65
-    p, q, t = F.lit(value * (1 - saturation)), value * (1 - saturation * part), value * (1 - saturation * (1 - part))
-    v = F.lit(value)
-    choose = lambda *c: F.when(sextant == 0, c[0]).when(sextant == 1, c[1]).when(sextant == 2, c[2]).when(sextant == 3, c[3]).when(sextant == 4, c[4]).otherwise(c[5])
-    red, green, blue = choose(v, q, p, p, t, v), choose(t, v, v, q, p, p), choose(p, p, t, v, v, q)
-    part_of = lambda c, s: F.shiftleft(F.round(c * 255).cast("int"), s)
-    return part_of(red, 16) + part_of(green, 8) + part_of(blue, 0)

@@ -224,16 +224,13 @@ def spatial_index(runs: DataFrame, key: str = "id", shift: int = BUCKET_SHIFT) -
     return pairs.groupBy("cell_x", "cell_z").agg(F.sort_array(F.collect_list(key)).alias("region_ids"))
 
 
-def lookup(points: DataFrame, index: DataFrame, runs: DataFrame, key: str = "id", shift: int = BUCKET_SHIFT) -> DataFrame:
-    """points with the region that contains each (null: none), by candidate cells and exact runs."""
-    numbered = points.withColumns({"cell_x": F.shiftright("x", shift), "cell_z": F.shiftright("z", shift)})
-    pairs = numbered.join(index, ["cell_x", "cell_z"]).withColumn(key, F.explode("region_ids")).select("x", "z", key).distinct()
-    spread = runs.select(key, "z", "x0", "x1", F.explode(F.sequence(F.shiftright("x0", shift), F.shiftright("x1", shift))).alias("cell_x"))
-    hits = pairs.withColumn("cell_x", F.shiftright("x", shift)).join(spread, [key, "z", "cell_x"]).filter("x between x0 and x1").groupBy("x", "z").agg(F.min(key).alias(key))
+def lookup(points: DataFrame, runs: DataFrame, key: str = "id") -> DataFrame:
+    """points with the region that contains each (null: none): runs are met by row and column bucket, so a point sees only the runs of its row nearby."""
+    hits = contains(points.select("x", "z").distinct(), runs, key).groupBy("x", "z").agg(F.min(key).alias(key))
     return points.join(hits, ["x", "z"], "left")
 
 
-def ocean_sheets(cells: DataFrame, min_columns: int, most: int | None = None) -> DataFrame:
+def ocean_sheets(cells: DataFrame, min_columns: int) -> DataFrame:
     """(cx, cz, sheet, columns) of ocean cells (no cave majority) in 4-connected sheets of at least min_columns columns."""
     from .runs import label
 
@@ -242,3 +239,17 @@ def ocean_sheets(cells: DataFrame, min_columns: int, most: int | None = None) ->
     placed = contains(wet.select(F.col("cx").alias("x"), F.col("cz").alias("z"), "water_cols"), runs, "component")
     sizes = placed.groupBy("component").agg(F.sum("water_cols").cast("long").alias("columns")).filter(F.col("columns") >= min_columns)
     return placed.join(sizes, "component").select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("component").alias("sheet"), "columns")
+
+
+def largest_sheets(sheets: DataFrame, most: int = 48) -> DataFrame:
+    """(sheet, columns) of the largest sheets of ocean_sheets()."""
+    return sheets.select("sheet", "columns").distinct().orderBy(F.desc("columns"), "sheet").limit(most)
+
+
+def kind_and_modifier_counts(regions: DataFrame, small_river: int = 20_000, small_sea: int = 10_000) -> DataFrame:
+    """One row: regions by kind, by modifier, and rivers and seas (no caves) under a size. regions: (kind, modifiers, column_count)."""
+    has = lambda k: F.col("modifiers").bitwiseAND(F.lit(1 << k)) != 0
+    by_kind = [F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(water.KINDS)]
+    by_bit = [F.count_if(has(k)).alias(f"with_{n}") for k, n in enumerate(water.MODIFIERS)]
+    small = lambda kind, most: F.count_if((F.col("kind") == kind) & ~has(4) & (F.col("column_count") < most))
+    return regions.agg(*by_kind, *by_bit, small(water.RIVER_KIND, small_river).alias("small_rivers"), small(water.SEA, small_sea).alias("small_seas"))

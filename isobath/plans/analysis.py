@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 
 from ..functions import biomes as biome_functions
 from ..functions import blocks, water
-from ..operators import contraction, neighbourhood, regions, runs
-from ..options import Options
+from ..operators import contraction, lakes, neighbourhood, regions, runs
+from ..options import LakeOptions, Options
 from ..session import cut
 from ..sources import anvil, waterfile
 
 
 @dataclass
 class Result:
+    """Regions and runs; what the reports need beside them."""
+
     regions: DataFrame
     runs: DataFrame
     sea_level: int
+    columns: DataFrame | None = None
+    cells: DataFrame | None = None
+    biomes: DataFrame | None = None
+    chunks: dict[int, int] | None = None
+    lakes: dict[str, DataFrame] | None = None
+    sources: DataFrame | None = None
 
 
 def cells_of(columns: DataFrame, biomes: DataFrame, caves_count: bool) -> DataFrame:
@@ -95,39 +103,67 @@ def analyze(columns: DataFrame, biomes: DataFrame, options: Options, caves_count
     # vegetation and modifiers stay those of the root
     whole = again.drop("vegetation", "modifiers").join(final.select("id", "vegetation", "modifiers"), "id")
     least = F.when(F.col("modifiers").bitwiseAND(F.lit(16)) != 0, options.min_cave_body).otherwise(options.min_water_body)
-    kept = runs.number_in_order(whole.filter(F.col("columns") >= least), ["id"], "new_id")
-    kept_runs = own.join(kept.select("id", "new_id"), "id").select(F.col("new_id").alias("id"), "z", "x0", "x1")
-    return _annotated(kept.drop("id").withColumnRenamed("new_id", "id"), kept_runs, columns), kept_runs
+    kept = cut(runs.number_in_order(whole.filter(F.col("columns") >= least), ["id"], "new_id"))
+    kept_runs = cut(own.join(kept.select("id", "new_id"), "id").select(F.col("new_id").alias("id"), "z", "x0", "x1"))
+    return bounded(kept.drop("id").withColumnRenamed("new_id", "id"), kept_runs), kept_runs
 
 
-def _annotated(regions_: DataFrame, own: DataFrame, columns: DataFrame) -> DataFrame:
-    """Regions with bounds, and the cave bit from the columns under a roof."""
-    roofed = regions.coverage(own, columns.filter("covered")).select("id", F.col("cave").alias("roofed"))
+def bounded(regions_: DataFrame, own: DataFrame) -> DataFrame:
+    """Regions with the bounds and the area of their runs."""
     box = runs.measures(own, "id").drop("runs").withColumnRenamed("area", "column_count")
+    return regions_.drop("min_x", "min_z", "max_x", "max_z", "column_count").join(box, "id")
+
+
+def roofed(regions_: DataFrame, own: DataFrame, columns: DataFrame) -> DataFrame:
+    """Regions with the cave bit set where half of their columns or more lie under a roof."""
+    under = regions.coverage(own, columns.filter("covered")).select("id", F.col("cave").alias("roofed"))
     bits = F.col("modifiers").bitwiseOR(F.when(F.col("roofed"), 16).otherwise(0))
-    return regions_.join(box, "id").join(roofed, "id").withColumn("modifiers", bits).drop("roofed")
+    return regions_.join(under, "id").withColumn("modifiers", bits).drop("roofed")
+
+
+def lake_step(found: DataFrame, own: DataFrame, cells: DataFrame, ground: DataFrame, options: LakeOptions) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(regions, runs, tables of the lake analysis) after rivers and lakes are told apart by their shape."""
+    tables = lakes.analyze(found, own, cells, ground, options)
+    divided, pieces = lakes.apply(found, own, tables["columns"])
+    return bounded(divided, cut(pieces)), pieces, tables
 
 
 def run(spark: SparkSession, options: Options) -> Result:
-    """Scan, find the sea level, scan again above the cutoff, analyse."""
+    """Read the world for the sea level, again above the cutoff, and analyse; lakes and roofs come last, as the options say."""
+    lake_options = LakeOptions.load(options.lake_config) if options.lake_config else LakeOptions()
     packs = [str(p) for p in (anvil.world_root(options.world) / "datapacks").glob("*")] if "://" not in options.world else []
-    biomes = biome_functions.biome_table(spark, packs)
+    biomes = cut(biome_functions.biome_table(spark, packs))
     cutoff = options.height_cutoff
     level = options.sea_level
     if level is None:
         level = detect_sea_level(anvil.scan_world(spark, options.world, caves=options.include_deep_caves), biomes)
-    columns = anvil.scan_world(spark, options.world, caves=not options.no_caves, min_y=None if cutoff is None else level - cutoff)
-    arid = regions.dryland(anvil.scan_surface(spark, options.world), biomes)
-    found, own = analyze(columns, biomes, options, caves_count=cutoff is None, arid=arid)
-    return Result(found, own, level)
-
-
-def write(result: Result, path: str, data_version: int = 0) -> int:
-    """Write the binary file and check it by reading it again; returns its bytes."""
-    box = result.runs.agg(F.min("x0"), F.min("z"), F.max("x1"), F.max("z")).first()
-    low = [int(v) >> 9 << 9 for v in box[:2]] if box[0] is not None else [0, 0]
-    high = [(int(v) >> 9 << 9) + 511 for v in box[2:]] if box[0] is not None else [0, 0]
+    read = anvil.scan(spark, options.world, caves=not options.no_caves, min_y=None if cutoff is None else level - cutoff)
+    columns, caves_count = read["columns"], cutoff is None
+    found, own = analyze(columns, biomes, options, caves_count=caves_count, arid=regions.dryland(read["surface"], biomes))
+    cells = cut(cells_of(columns, biomes, caves_count))
+    tables, sources = None, found
+    if not options.no_lake_detection:
+        found, own, tables = lake_step(found, own, cells, read["ground"], lake_options)
+    if not caves_count:
+        found = roofed(found, own, columns)
+    chunks = {r.state: r.n for r in read["chunks"].collect()}
+    return Result(cut(found), own, level, columns, cells, biomes, chunks, tables, sources)
+
+
+def world_bounds(spark: SparkSession, world: str) -> tuple[int, int, int, int]:
+    """Columns that the region files of a world span: min_x, min_z, max_x, max_z."""
+    box = anvil.tiles(spark, world).agg(F.min("rx"), F.min("rz"), F.max("rx"), F.max("rz")).first()
+    return (0, 0, 0, 0) if box[0] is None else (box[0] * 512, box[1] * 512, box[2] * 512 + 511, box[3] * 512 + 511)
+
+
+def write(result: Result, path: str, data_version: int = 0, bounds: tuple[int, int, int, int] | None = None) -> int:
+    """Write the binary file and check it by reading it again; returns its bytes. Without bounds those of the water, by whole files, are taken."""
+    if bounds is None:
+        box = result.runs.agg(F.min("x0"), F.min("z"), F.max("x1"), F.max("z")).first()
+        low = [int(v) >> 9 << 9 for v in box[:2]] if box[0] is not None else [0, 0]
+        high = [(int(v) >> 9 << 9) + 511 for v in box[2:]] if box[0] is not None else [0, 0]
+        bounds = (*low, *high)
     named = result.regions.select([F.col(c.split()[0]) for c in waterfile.REGION.split(", ")])
-    size = waterfile.write_file(path, named, result.runs, (*low, *high), sea_level=result.sea_level, data_version=data_version)
+    size = waterfile.write_file(path, named, result.runs, bounds, sea_level=result.sea_level, data_version=data_version)
     waterfile.verify(path, named, result.runs, result.sea_level)
     return size

@@ -62,9 +62,9 @@ def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.encode(demo.raster(spark, sf_dir), "status")
 
 
-@query(_RUNS + " SELECT status, z, CAST(min(x0) AS INTEGER) AS x0, CAST(max(x1) AS INTEGER) AS x1 FROM (SELECT *, sum(g) OVER (PARTITION BY status, z ORDER BY x0) AS p FROM (SELECT status, z // 2 * 2 AS z, x0, x1, CASE WHEN x0 <= max(x1) OVER (PARTITION BY status, z // 2 * 2 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS g FROM runs WHERE z >= 0)) GROUP BY status, z, p")
+@query(_RUNS + " SELECT status, z, CAST(min(x0) AS INTEGER) AS x0, CAST(max(x1) AS INTEGER) AS x1 FROM (SELECT *, sum(g) OVER (PARTITION BY status, z ORDER BY x0) AS p FROM (SELECT status, z, x0, x1, CASE WHEN x0 <= max(x1) OVER (PARTITION BY status, z ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS g FROM (SELECT status, CAST(floor(z / 2) * 2 AS INTEGER) AS z, x0, x1 FROM runs))) GROUP BY status, z, p")
 def coalesced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = runs.encode(demo.raster(spark, sf_dir), "status").filter("z >= 0").withColumn("z", F.expr("cast(z div 2 * 2 as int)"))
+    folded = runs.encode(demo.raster(spark, sf_dir), "status").withColumn("z", F.shiftleft(F.shiftright("z", 1), 1))
     return runs.coalesce_runs(folded, "status")
 
 
@@ -116,9 +116,9 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""), nb AS (SELECT a.x, a.z, a.status AS own, b.status AS vote, (b.z - a.z) * 3 + b.x - a.x AS pos FROM wet2 a JOIN wet2 b ON abs(a.x - b.x) <= 1 AND abs(a.z - b.z) <= 1),
 v AS (SELECT x, z, own, vote, count(*) AS n, min(pos) AS pos FROM nb GROUP BY ALL), o AS (SELECT x, z, n FROM v WHERE own = vote),
 b AS (SELECT v.x, v.z, v.own, arg_max(v.vote, row(v.n, -v.pos)) AS best, max(v.n) AS most FROM v GROUP BY v.x, v.z, v.own)
-SELECT b.x, b.z, CASE WHEN b.most > o.n THEN b.best ELSE b.own END AS code FROM b JOIN o USING (x, z)""".replace("), nb", ", wet2 AS (SELECT x, z, status FROM grid WHERE customer % 4 <> 0), nb", 1))
+SELECT b.x, b.z, CASE WHEN b.most > o.n THEN b.best ELSE b.own END AS code FROM b JOIN o USING (x, z)""".replace("), nb", ", wet2 AS (SELECT x, z, status FROM grid), nb", 1))
 def majority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = demo.raster(spark, sf_dir).filter("customer % 4 <> 0").select("x", "z", F.col("status").alias("code"))
+    cells = demo.raster(spark, sf_dir).select("x", "z", F.col("status").alias("code"))
     return neighbourhood.majority(cells)
 
 
@@ -405,7 +405,7 @@ def spatial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = runs.coalesce_runs(_regions(spark, sf_dir), "id")
     points = demo.table(spark, sf_dir, "events").select((F.col("user_id") % 150 - 75).cast("int").alias("x"), F.expr("cast(event_id div 7 % 200 - 60 as int)").alias("z")).distinct()
-    return regions.lookup(points, regions.spatial_index(own), own)
+    return regions.lookup(points, own)
 
 
 # ---- reports, pixels, scores ------------------------------------------------------
@@ -425,12 +425,12 @@ def json_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_json(rows, 50).select(read).select("r.*")
 
 
-@query(" SELECT CAST(trunc((x + 64) / 4) AS INTEGER) AS px, CAST(trunc((z + 37) / 4) AS INTEGER) AS pz, arg_max(status, row(rank, z, x)) AS painted FROM (SELECT *, CASE status WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank FROM grid WHERE customer % 3 <> 0) GROUP BY 1, 2")
+@query(" SELECT CAST(trunc((x + 64) / 4) AS INTEGER) AS px, CAST(trunc((z + 37) / 4) AS INTEGER) AS pz, arg_max(status, row(rank, z, x)) AS painted FROM (SELECT *, CASE status WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank FROM grid) GROUP BY 1, 2")
 def pixel_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks.maps import paint
 
     rank = F.when(F.col("status") == "O", 0).when(F.col("status") == "P", 1).otherwise(2)
-    rows = demo.raster(spark, sf_dir).filter("customer % 3 <> 0").select("x", "z", F.col("status").alias("painted"), rank.alias("rank"))
+    rows = demo.raster(spark, sf_dir).select("x", "z", F.col("status").alias("painted"), rank.alias("rank"))
     return paint(rows, "painted", ["rank", "z", "x"], -64, -37, 4)
 
 
@@ -515,3 +515,266 @@ def region_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = group.select("group", "donor").distinct().join(kind, "donor").select(F.col("group").alias("id"), "kind")
     sums = regions.accumulate(joined, cells, _dimension(spark))
     return regions.finalize(sums.join(heads, "id")).select("id", "kind", "columns", "vegetation", "modifiers", "mean_depth", "surface_y")
+
+
+# ---- lakes ------------------------------------------------------------------------
+
+
+@query(" SELECT a.x, a.z, CAST((count(*) FILTER (abs(a.x - b.x) <= 16 AND abs(a.z - b.z) <= 16) * 255 + 544) // 1089 AS INTEGER) AS d16, CAST((count(*) * 255 + 2112) // 4225 AS INTEGER) AS d32 FROM wet a JOIN wet b ON abs(a.x - b.x) <= 32 AND abs(a.z - b.z) <= 32 GROUP BY a.x, a.z")
+def box_density_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbourhood.density(demo.water(spark, sf_dir), (16, 32))
+
+
+_MEASURES = """, m AS (SELECT x, z FROM grid WHERE status IN ('O', 'P')),
+dry AS (SELECT x, z FROM (SELECT unnest(range(-66, 66)) AS x) CROSS JOIN (SELECT unnest(range((SELECT min(z) FROM grid) - 2, (SELECT max(z) FROM grid) + 3)) AS z) ANTI JOIN m USING (x, z)),
+shore AS (SELECT m.x, m.z, min(abs(m.x - d.x) + abs(m.z - d.z)) AS distance FROM m JOIN dry d ON abs(m.x - d.x) <= 12 AND abs(m.z - d.z) <= 12 GROUP BY m.x, m.z),
+dense AS (SELECT a.x, a.z, (count(*) FILTER (abs(a.x - b.x) <= 8 AND abs(a.z - b.z) <= 8) * 255 + 144) // 289 AS d8, (count(*) FILTER (abs(a.x - b.x) <= 16 AND abs(a.z - b.z) <= 16) * 255 + 544) // 1089 AS d16, (count(*) * 255 + 2112) // 4225 AS d32 FROM m a JOIN m b ON abs(a.x - b.x) <= 32 AND abs(a.z - b.z) <= 32 GROUP BY a.x, a.z)"""
+
+
+@query(_MEASURES + " SELECT x, z, distance >= 2 AND CAST(d8 AS FLOAT) / CAST(255 AS FLOAT) >= CAST(0.5 AS FLOAT) AND CAST(d16 AS FLOAT) / CAST(255 AS FLOAT) >= CAST(0.5 AS FLOAT) AND CAST(d32 AS FLOAT) / CAST(255 AS FLOAT) >= CAST(0.4 AS FLOAT) AS core FROM shore JOIN dense USING (x, z)")
+def core_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four conditions of a core, with thresholds that fit the raster."""
+    from ..operators import lakes
+    from ..options import LakeOptions
+
+    options = LakeOptions(core_radius=2, density_8=0.5, density_16=0.5, density_32=0.4)
+    return lakes.evidence(demo.water(spark, sf_dir, "O", "P").select("x", "z")).select("x", "z", lakes.good_core(options).alias("core"))
+
+
+@query(" SELECT x, z FROM grid WHERE customer % 4 IN (1, 2) AND customer % 32 < 16")
+def inland_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inland water by its kind (customer modulo 4) and modifiers (modulo 32)."""
+    from ..operators import lakes
+
+    marked = demo.raster(spark, sf_dir).select("x", "z", (F.col("customer") % 4).cast("int").alias("kind"), (F.col("customer") % 32).cast("int").alias("modifiers"))
+    return marked.filter(lakes.inland()).select("x", "z")
+
+
+@query(_WET_LABELS + """, box AS (SELECT component AS body, min(x) AS bx, min(z) AS bz, max(x) AS ex, max(z) AS ez, CAST(count(*) AS DOUBLE) AS n FROM labelled GROUP BY 1),
+loc AS (SELECT b.*, CAST(l.x - bx AS DOUBLE) AS u, CAST(l.z - bz AS DOUBLE) AS v FROM labelled l JOIN box b ON b.body = l.component),
+mom AS (SELECT body, 0.5 * atan2(2 * (sum(u * v) - sum(u) * sum(v) / min(n)), (sum(u * u) - sum(u) * sum(u) / min(n)) - (sum(v * v) - sum(v) * sum(v) / min(n))) AS t FROM loc GROUP BY body),
+ext AS (SELECT body, max(cos(t) * u + sin(t) * v) - min(cos(t) * u + sin(t) * v) + min(abs(cos(t)) + abs(sin(t))) AS a, max(cos(t) * v - sin(t) * u) - min(cos(t) * v - sin(t) * u) + min(abs(cos(t)) + abs(sin(t))) AS b FROM loc JOIN mom USING (body) GROUP BY body)
+SELECT body, round(CAST(n / ((ex - bx + 1) * (ez - bz + 1)) AS DOUBLE), 4) AS axis_fill, round(least(1, n / least((ex - bx + 1) * (ez - bz + 1), a * b)), 4) AS fill FROM box JOIN ext USING (body)""", recursive=True)
+def lake_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import lakes
+
+    placed = runs.explode_runs(_water_regions(spark, sf_dir)).select(F.col("id").alias("body"), "x", "z")
+    return lakes.footprints(placed, "body").select("body", F.round(F.col("axis_fill").cast("double"), 4).alias("axis_fill"), F.round(F.col("fill").cast("double"), 4).alias("fill"))
+
+
+@query(_WET_LABELS + """, wc AS (SELECT l.component, l.x, l.z, w.surface_y FROM labelled l JOIN wet w USING (x, z)),
+ground AS (SELECT x >> 2 AS cx, z >> 2 AS cz, min(surface_y) AS y FROM grid WHERE status = 'F' GROUP BY 1, 2),
+side AS (SELECT w.component, w.surface_y, w.x + s.dx AS x, w.z + s.dz AS z FROM wc w CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(dx, dz)),
+bank AS (SELECT s.* FROM side s ANTI JOIN (SELECT x, z FROM grid WHERE status IN ('O', 'P')) g ON g.x = s.x AND g.z = s.z)
+SELECT component AS body, (SELECT count(*) FROM labelled k WHERE k.component = b.component) AS area, count(*) AS edges, count(y) AS ground_samples, count(*) FILTER (y >= surface_y + 1) AS ground_rises FROM bank b LEFT JOIN ground g ON g.cx = b.x >> 2 AND g.cz = b.z >> 2 GROUP BY component""", recursive=True)
+def lake_candidate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas, banks and risen ground of the water's components; P water is protected, F is dry ground. Components without a bank are left out."""
+    from ..operators import lakes
+    from ..options import LakeOptions
+
+    grid = demo.raster(spark, sf_dir)
+    wet = demo.water(spark, sf_dir)
+    found = runs.explode_runs(_water_regions(spark, sf_dir)).select("x", "z", F.col("id").alias("body"), F.lit(1).alias("lake"))
+    ground = regions.terrain(grid.filter("status = 'F'").select("x", "z", F.col("surface_y").alias("y"), F.lit(False).alias("water")))
+    sums = lakes.candidate_sums(found, lakes.evidence(wet.select("x", "z")), wet.select("x", "z", "surface_y"), ground, grid.filter("status = 'P'").select("x", "z"), LakeOptions())
+    return sums.filter("edges > 0").select("body", "area", "edges", "ground_samples", "ground_rises")
+
+
+_SCORED = """, c AS (SELECT order_key AS body, 500 + customer * 37 % 60000 AS area, customer % 50 AS min_x, customer % 50 + 5 + customer % 400 AS max_x, 0 AS min_z, 100 + customer % 300 AS max_z, 1 + customer % 90 AS max_distance, 200 + customer % 256 AS d16, customer % 256 AS d32, customer % 40 AS samples, customer % 40 // 2 AS rises, CAST((customer % 100) / 100.0 AS FLOAT) AS fill, 10 + customer * 13 % 40000 AS core_area, CAST(customer % 200 AS DOUBLE) AS width, customer % 4 AS contacts, (customer % 10) / 10.0 AS widening, customer % 5 AS outflows, [customer % 50 + customer % 3] AS near, [100 + customer % 300 - customer % 2] AS far FROM grid),
+k AS (SELECT *, area / pow(2.0 * max_distance, 2) AS e, core_area / CAST(area AS DOUBLE) AS core, CASE WHEN max_z - min_z > max_x - min_x THEN list_contains(list_transform(far, lambda v: v <= min_z + (max_z - min_z) * 0.25), true) AND list_contains(list_transform(far, lambda v: v >= max_z - (max_z - min_z) * 0.25), true)
+  ELSE list_contains(list_transform(list_concat(near, far), lambda v: v <= min_x + (max_x - min_x) * 0.25), true) AND list_contains(list_transform(list_concat(near, far), lambda v: v >= max_x - (max_x - min_x) * 0.25), true) END AS opposed FROM c),
+s AS (SELECT *, greatest(0, least(1, 0.10 * least(1, width / 72.0) + 0.12 * least(1, core_area / 256.0) + 0.20 * least(1, greatest(0, 0.4 * (d16 / 255.0) + 0.6 * (d32 / 255.0))) + 0.15 * CASE WHEN contacts = 0 THEN 0.7 ELSE widening END + 0.08 * least(1, area / 4000.0) + 0.20 * greatest(0, least(1, 1 - e / 16.0)) + 0.10 * CASE WHEN samples > 0 THEN rises / CAST(samples AS DOUBLE) ELSE 0.5 END + 0.05 / (1.0 + 0.5 * greatest(outflows - 1, 0)))) AS confidence FROM k),
+r AS (SELECT *, CASE WHEN area < 2000 THEN 'candidate_too_small' WHEN fill < CAST(0.25 AS FLOAT) THEN 'channel_like_footprint' WHEN CAST(core AS FLOAT) < CAST(0.6 AS FLOAT) AND NOT (area <= 20000 AND fill >= CAST(0.75 AS FLOAT)) THEN 'insufficient_basin_core' WHEN CAST(e AS FLOAT) > 8 AND NOT opposed THEN 'uniform_wide_channel' WHEN CAST(confidence AS FLOAT) < CAST(0.58 AS FLOAT) THEN 'low_confidence' END AS rejection FROM s)
+SELECT body, round(confidence, 4) AS confidence, opposed, rejection, CASE WHEN rejection IS NOT NULL THEN rejection WHEN fill < CAST(0.4 AS FLOAT) THEN 'new_lake_footprint' WHEN CAST(core AS FLOAT) < CAST(0.9 AS FLOAT) AND fill < CAST(0.75 AS FLOAT) THEN 'new_lake_core_support' END AS new_lake_rejection FROM r"""
+
+
+@query(_SCORED)
+def lake_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, confidence, opposed necks and both cascades of verdicts on candidates made of the orders."""
+    from ..operators import lakes
+    from ..options import LakeOptions
+
+    c = F.col("customer")
+    double = lambda e: e.cast("double")
+    area = 500 + c * 37 % 60000
+    made = demo.raster(spark, sf_dir).select(
+        F.col("order_key").alias("body"), F.lit(1).alias("lake"), area.alias("area"), (c % 50).alias("min_x"), (c % 50 + 5 + c % 400).alias("max_x"), F.lit(0).cast("long").alias("min_z"), (100 + c % 300).alias("max_z"),
+        (1 + c % 90).alias("max_distance"), F.lit(0).alias("distance_sum"), F.lit(0.0).alias("d8_sum"), (double(200 + c % 256) * area).alias("d16_sum"), (double(c % 256) * area).alias("d32_sum"),
+        (c % 40).alias("ground_samples"), F.expr("customer % 40 div 2").alias("ground_rises"), (c % 40).alias("edges"), (c % 100 / 100.0).cast("float").alias("fill"), (10 + c * 13 % 40000).alias("core_area"), double(c % 200).alias("width"),
+        (c % 4).alias("contacts"), (c % 10 / 10.0).alias("widening"), (c % 5).alias("outflows"), F.array(c % 50 + c % 3, 100 + c % 300 - c % 2).alias("necks_x"), F.array(100 + c % 300 - c % 2).alias("necks_z"),
+    )
+    scored = lakes.score(made, LakeOptions(min_new_lake_fill=0.4, min_new_lake_core_fraction=0.9))
+    return scored.select("body", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "opposed", "rejection", "new_lake_rejection")
+
+
+@query(_LABELS + _CANON + """, src AS (SELECT n.id AS source, l.x, l.z, l.status, g.customer % 3 = 0 AS lake FROM labelled l JOIN numbered n USING (component) JOIN grid g USING (x, z)),
+prot AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS id, count(*) AS area FROM src WHERE status = 'O' GROUP BY source),
+pc AS (SELECT CAST(z AS BIGINT) * 4294967296 + x AS pid, source * 2 + CAST(lake AS BIGINT) AS piece, x, z FROM src WHERE status <> 'O'),
+pl AS (SELECT a.pid AS a, b.pid AS b FROM pc a JOIN pc b ON a.piece = b.piece AND abs(a.x - b.x) + abs(a.z - b.z) = 1),
+c2(pid, component) USING KEY (pid) AS (SELECT pid, pid AS component FROM pc UNION SELECT l.b AS pid, min(c.component) AS component FROM c2 c JOIN pl l ON c.pid = l.a JOIN recurring.c2 r ON r.pid = l.b WHERE c.component < r.component GROUP BY l.b),
+pieces AS (SELECT component, min(piece) AS piece, count(*) AS area, min(row(z >> 5, x >> 5, z, x)) AS f FROM c2 JOIN pc USING (pid) GROUP BY component)
+SELECT CAST(id AS BIGINT) AS id, 0 AS kind, area AS column_count FROM prot UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY f) - 1 + (SELECT count(*) FROM prot) AS BIGINT) AS id, CASE WHEN piece % 2 = 1 THEN 2 ELSE 1 END AS kind, area AS column_count FROM pieces""", recursive=True)
+def lake_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Division of inland regions into lakes and rivers: O components stay as they are, the others are cut where customer modulo 3 says lake."""
+    from ..operators import lakes
+
+    own = _regions(spark, sf_dir)
+    found = own.groupBy("id").agg(F.first(F.when(F.col("status") == "O", water.SEA).otherwise(water.RIVER_KIND)).alias("kind")).withColumn("modifiers", F.lit(0))
+    marked = runs.explode_runs(own.filter("status <> 'O'")).select(F.col("id").alias("source"), "x", "z").join(demo.raster(spark, sf_dir).select("x", "z", (F.col("customer") % 3 == 0).alias("is_lake")), ["x", "z"])
+    whole, pieces = lakes.apply(found, own.drop("status"), marked)
+    area = pieces.groupBy("id").agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("column_count"))
+    return whole.join(area, "id").select("id", "kind", "column_count")
+
+
+@query(_CELLS + _DIM + _WET_LABELS + """, arid AS (SELECT DISTINCT x >> 2 AS cx, z >> 2 AS cz FROM grid WHERE biome = 'minecraft:desert' AND status <> 'O'),
+wc AS (SELECT l.component AS id, l.x >> 2 AS cx, l.z >> 2 AS cz FROM labelled l)
+SELECT id, CAST(count(*) FILTER (coalesce(traits, 0) & 2 <> 0 OR EXISTS (SELECT 1 FROM arid a WHERE abs(a.cx - w.cx) <= 4 AND abs(a.cz - w.cz) <= 4)) AS BIGINT) AS desert_columns FROM wc w JOIN cell c USING (cx, cz) LEFT JOIN dim d USING (biome) GROUP BY id""", recursive=True)
+def arid_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Desert columns of regions: the cell's own biome, or arid dry land within four cells, counted once."""
+    dry = demo.raster(spark, sf_dir).filter("status <> 'O'").select(F.shiftright("x", 2).alias("cx"), F.shiftright("z", 2).alias("cz"), "biome")
+    biome_dim = _dimension(spark)
+    cells = _cells(spark, sf_dir).withColumns({"coral": F.lit(False), "plants": F.lit(False)})
+    return regions.accumulate(_water_regions(spark, sf_dir), cells, biome_dim, arid=regions.dryland(dry, biome_dim)).select("id", "desert_columns")
+
+
+# ---- maps -------------------------------------------------------------------------
+
+_MAPPED = _LABELS + _CANON + """, reg AS (SELECT l.x, l.z, n.id, CAST(n.id % 4 AS INTEGER) AS kind, CAST(n.id % 3 AS INTEGER) AS temperature, CAST(n.id // 3 % 32 AS INTEGER) AS modifiers FROM labelled l JOIN numbered n USING (component)),
+pix AS (SELECT *, CAST((x + 64) // 4 AS INTEGER) AS px, CAST((z + 37) // 4 AS INTEGER) AS pz FROM reg)"""
+_INLAND_SQL = "CASE WHEN kind = 1 AND modifiers & 4 <> 0 THEN 15390624 WHEN kind = 2 AND modifiers & 4 <> 0 THEN 14197373 ELSE [2388088, 10078925, 6602451, 12887172][kind + 1] END"
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    """Runs of all components with made-up attributes, and the projection to pixels of four columns."""
+    from ..sinks.painters import Projection
+
+    own = _regions(spark, sf_dir)
+    whole = lambda e: e.cast("int")
+    rows = own.select("id", "z", "x0", "x1", whole(F.col("id") % 4).alias("kind"), whole(F.col("id") % 3).alias("temperature"), whole(F.col("id") % 3).alias("depth_class"), whole(F.col("id") % 4).alias("vegetation"), F.expr("cast(id div 3 % 32 as int)").alias("modifiers"))
+    return rows, Projection(-64, -37, 63, 1200, 4)
+
+
+@query(" SELECT x, z, CASE WHEN customer % 32 & 16 <> 0 AND (x + 64) % 5 IN (2, 3) AND (z + 40) % 5 IN (2, 3) THEN 4474959 WHEN customer % 32 & 2 <> 0 AND (x + 64) % 6 = 2 AND (z + 40) % 6 = 2 THEN 16734910 WHEN customer % 32 & 1 <> 0 AND (z + 40) % 8 < 2 THEN 15464703 WHEN customer % 32 & 4 <> 0 AND (x + 64 + 5 * (z + 40)) % 11 < 2 THEN 14862456 WHEN customer % 32 & 8 <> 0 AND (x + 64) % 7 = 3 AND (z + 40) % 7 = 5 THEN 9850920 END AS color FROM grid")
+def modifier_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import colours
+
+    grid = demo.raster(spark, sf_dir)
+    return grid.select("x", "z", colours.texture((F.col("customer") % 32).cast("int"), F.col("x") + 64, F.col("z") + 40).alias("color"))
+
+
+@query(""", d AS (SELECT DISTINCT CAST(surface_y - floor_y + customer % 60 AS INTEGER) AS depth FROM grid),
+s AS (SELECT depth, CASE WHEN depth <= 10 THEN [0, 198, 244, 252, 10, 96, 196, 226] WHEN depth <= 30 THEN [10, 96, 196, 226, 30, 38, 112, 192] WHEN depth <= 60 THEN [30, 38, 112, 192, 60, 18, 48, 122] ELSE [60, 18, 48, 122, 100, 8, 16, 54] END AS k FROM d),
+t AS (SELECT depth, k, CAST(least(depth, 100) - k[1] AS FLOAT) / CAST(k[5] - k[1] AS FLOAT) AS t FROM s)
+SELECT depth, CAST(trunc(CAST(k[2] AS FLOAT) * (CAST(1 AS FLOAT) - t) + CAST(k[6] AS FLOAT) * t) * 65536 + trunc(CAST(k[3] AS FLOAT) * (CAST(1 AS FLOAT) - t) + CAST(k[7] AS FLOAT) * t) * 256 + trunc(CAST(k[4] AS FLOAT) * (CAST(1 AS FLOAT) - t) + CAST(k[8] AS FLOAT) * t) AS INTEGER) AS color FROM t""")
+def depth_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import colours
+
+    depth = (F.col("surface_y") - F.col("floor_y") + F.col("customer") % 60).cast("int")
+    return demo.raster(spark, sf_dir).select(depth.alias("depth")).distinct().select("depth", colours.depth_color(F.col("depth")).alias("color"))
+
+
+@query(", t AS (SELECT DISTINCT x >> 5 AS rx, z >> 5 AS rz FROM grid) SELECT DISTINCT CAST(px AS INTEGER) AS px, CAST(pz AS INTEGER) AS pz, 3421754 AS color FROM (SELECT rx, rz, unnest(range((rx * 512 + 4096) // 64, (rx * 512 + 511 + 4096) // 64 + 1)) AS px FROM t) JOIN (SELECT rx, rz, unnest(range((rz * 512 + 4096) // 64, (rz * 512 + 511 + 4096) // 64 + 1)) AS pz FROM t) USING (rx, rz)")
+def land_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the tiles that exist; a tile here is named by 32 columns of the raster."""
+    from ..sinks import painters
+
+    tiles = demo.raster(spark, sf_dir).select(F.shiftright("x", 5).alias("rx"), F.shiftright("z", 5).alias("rz")).distinct()
+    return painters.land(tiles, painters.Projection(-4096, -4096, 100_000, 100_000, 64))
+
+
+@query(_MAPPED + f" SELECT px, pz, arg_max({_INLAND_SQL}, row([0, 2, 1, 3][kind + 1], id, z, x)) AS color FROM pix GROUP BY px, pz", recursive=True)
+def inland_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks import painters
+
+    rows, p = _mapped(spark, sf_dir)
+    return painters.inland(rows, p)
+
+
+@query(_MAPPED + " SELECT px, pz, max(id) AS top FROM pix GROUP BY px, pz", recursive=True)
+def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last writer of every pixel in the order of regions."""
+    from ..sinks import painters
+
+    rows, p = _mapped(spark, sf_dir)
+    return painters.last(painters.run_pixels(rows, p), F.col("id"), "id", "z", "x0").withColumnRenamed("color", "top")
+
+
+@query(_CELLS + " SELECT CAST((cx * 4 + 64) // 8 AS INTEGER) AS px, CAST((cz * 4 + 40) // 8 AS INTEGER) AS pz, arg_max(least(depth, 100), row(cz >> 7, cx >> 7, cz >> 2, cx >> 2, cz, cx)) AS depth FROM cell WHERE cave_cols * 2 < water_cols GROUP BY 1, 2")
+def depth_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth that every pixel of eight columns shows, read back from its colour."""
+    from ..functions import colours
+    from ..sinks import painters
+
+    shown = painters.depths(_cells(spark, sf_dir), painters.Projection(-64, -40, 63, 1200, 8))
+    back = spark.createDataFrame([(k, colours.ramp(k)) for k in range(101)], "depth int, color int").groupBy("color").agg(F.min("depth").alias("depth"))
+    return shown.join(back, "color").select("px", "pz", "depth")
+
+
+@query(_CELLS + _MAPPED.replace("), pix AS", "), pix AS", 1) + """, rr AS (SELECT id, kind, temperature, z, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY id, z ORDER BY x) AS g FROM reg WHERE kind = 0) GROUP BY id, kind, temperature, z, g),
+rp AS (SELECT *, greatest(x0, px * 4 - 64) AS a0, least(x1, px * 4 - 61) AS a1, (z + 37) // 4 AS pz FROM (SELECT *, unnest(range((x0 + 64) // 4, (x1 + 64) // 4 + 1)) AS px FROM rr)),
+s AS (SELECT rp.*, temperature * 2 + CASE WHEN coalesce(c.depth, 0) > 30 THEN 1 ELSE 0 END AS code FROM rp LEFT JOIN cell c ON c.cx = rp.a0 >> 2 AND c.cz = rp.z >> 2)
+SELECT CAST(px AS INTEGER) AS px, CAST(pz AS INTEGER) AS pz, CAST(arg_max(code, row(id, z, x0)) AS INTEGER) AS code, CAST(sum(a1 - a0 + 1) AS BIGINT) AS weight FROM s GROUP BY 1, 2""", recursive=True)
+def ocean_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature and shelf or basin of sea pixels, with the columns they hold, before the sieve."""
+    from ..sinks import painters
+
+    rows, p = _mapped(spark, sf_dir)
+    return painters.ocean_pixels(rows, _cells(spark, sf_dir), p)
+
+
+@query(_MAPPED + f""", shown AS (SELECT px, pz, arg_max({_INLAND_SQL}, row([0, 2, 1, 3][kind + 1], id, z, x)) AS color FROM pix GROUP BY px, pz),
+seen AS (SELECT p.*, g.covered FROM pix p JOIN shown s USING (px, pz) JOIN grid g ON g.x = p.x AND g.z = p.z WHERE s.color = {_INLAND_SQL}),
+bits AS (SELECT px, pz, bit_or(modifiers & 3) AS b, bool_and(covered) AS roofed FROM seen GROUP BY px, pz)
+SELECT px, pz, color FROM (SELECT px, pz, CASE WHEN roofed AND px % 5 IN (2, 3) AND pz % 5 IN (2, 3) THEN 4474959 WHEN b & 2 <> 0 AND px % 6 = 2 AND pz % 6 = 2 THEN 16734910 WHEN b & 1 <> 0 AND pz % 8 < 2 THEN 15464703 END AS color FROM bits) WHERE color IS NOT NULL""", recursive=True)
+def overview_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks import painters
+
+    rows, p = _mapped(spark, sf_dir)
+    covered = demo.raster(spark, sf_dir).filter("covered").select("x", "z")
+    return painters.overview_textures(rows, covered, painters.inland(rows, p), p)
+
+
+@query(" SELECT customer, CASE WHEN v >= 1099511627776 THEN printf('%.1f TiB', v / 1099511627776.0) WHEN v >= 1073741824 THEN printf('%.1f GiB', v / 1073741824.0) WHEN v >= 1048576 THEN printf('%.1f MiB', v / 1048576.0) WHEN v >= 1024 THEN printf('%.1f KiB', v / 1024.0) ELSE printf('%d B', v) END AS size FROM (SELECT DISTINCT customer, customer * customer * customer * (1 + customer % 5) AS v FROM grid)")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.reports import human_size_of
+
+    c = F.col("customer")
+    return demo.raster(spark, sf_dir).select("customer").distinct().select("customer", human_size_of(c * c * c * (1 + c % 5)).alias("size"))
+
+
+@query(_MAPPED + ", r AS (SELECT id, min(kind) AS kind, min(modifiers) AS m, count(*) AS n FROM reg GROUP BY id) SELECT count(*) FILTER (kind = 0) AS sea, count(*) FILTER (kind = 1) AS river, count(*) FILTER (kind = 2) AS lake, count(*) FILTER (kind = 3) AS swamp, count(*) FILTER (m & 1 <> 0) AS with_ice, count(*) FILTER (m & 2 <> 0) AS with_corals, count(*) FILTER (m & 4 <> 0) AS with_desert, count(*) FILTER (m & 8 <> 0) AS with_mangrove, count(*) FILTER (m & 16 <> 0) AS with_cave, count(*) FILTER (kind = 1 AND m & 16 = 0 AND n < 3) AS small_rivers, count(*) FILTER (kind = 0 AND m & 16 = 0 AND n < 2) AS small_seas FROM r", recursive=True)
+def modifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _mapped(spark, sf_dir)
+    found = rows.groupBy("id").agg(F.first("kind").alias("kind"), F.first("modifiers").alias("modifiers"), F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("column_count"))
+    return regions.kind_and_modifier_counts(found, 3, 2)
+
+
+@query(_CELLS + f""", oc AS (SELECT CAST(cz AS BIGINT) * 4294967296 + cx AS id, cx, cz, water_cols FROM cell WHERE {_FAMILY.replace('name', 'biome')} = 1 AND cave_cols * 2 < water_cols),
+links AS (SELECT a.id AS a, b.id AS b FROM oc a JOIN oc b ON abs(a.cx - b.cx) + abs(a.cz - b.cz) = 1),
+cc(id, component) USING KEY (id) AS (SELECT id, id AS component FROM oc UNION SELECT l.b AS id, min(c.component) AS component FROM cc c JOIN links l ON c.id = l.a JOIN recurring.cc r ON r.id = l.b WHERE c.component < r.component GROUP BY l.b)
+SELECT sheet, CAST(columns AS BIGINT) AS columns FROM (SELECT component AS sheet, sum(water_cols) AS columns, row_number() OVER (ORDER BY sum(water_cols) DESC, component) AS k FROM cc JOIN oc USING (id) GROUP BY component) WHERE k <= 48""", recursive=True)
+def largest_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.largest_sheets(regions.ocean_sheets(demo.segments_of(_cells(spark, sf_dir)), 1))
+
+
+_MASKED = """, px AS (SELECT x AS px, z AS pz, customer % 3 AS truth, [0, 10078925, 15390624, 6602451, 14197373, 255][1 + CAST(customer % 6 AS INTEGER)] AS c1, [0, 10078925, 15390624, 6602451, 14197373, 255][1 + CAST(customer // 7 % 6 AS INTEGER)] AS c2 FROM grid),
+k AS (SELECT truth, CASE WHEN c1 IN (10078925, 15390624) THEN 1 WHEN c1 IN (6602451, 14197373) THEN 2 ELSE 0 END AS ref, CASE WHEN c2 IN (10078925, 15390624) THEN 1 WHEN c2 IN (6602451, 14197373) THEN 2 ELSE 0 END AS p FROM px), v AS (SELECT * FROM k WHERE truth > 0 AND ref > 0),
+m AS (SELECT count(*) AS sample_count, count(*) FILTER (truth = 1 AND p = 1) AS river_as_river, count(*) FILTER (truth = 1 AND p = 2) AS river_as_lake, count(*) FILTER (truth = 2 AND p = 1) AS lake_as_river, count(*) FILTER (truth = 2 AND p = 2) AS lake_as_lake, count(*) FILTER (p = 0) AS unavailable_predictions, count(*) FILTER (truth = 1) AS r, count(*) FILTER (truth = 2) AS l FROM v)
+SELECT sample_count, river_as_river, river_as_lake, lake_as_river, lake_as_lake, unavailable_predictions, round(river_as_river / r, 9) AS river_recall, round(lake_as_lake / l, 9) AS lake_recall, round((river_as_river / r + lake_as_lake / l) / 2, 9) AS balanced_accuracy, round((river_as_river + lake_as_lake) / sample_count, 9) AS accuracy FROM m"""
+
+
+@query(_MASKED)
+def mask_by_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A painted mask, a reference and a candidate as pixel tables, joined by pixel and scored."""
+    from ..sinks import masks
+
+    c = F.col("customer")
+    colors = F.array(*map(F.lit, (0, 0x99CACD, 0xEAD7A0, 0x64BED3, 0xD8A27D, 255)))
+    grid = demo.raster(spark, sf_dir).select(F.col("x").alias("px"), F.col("z").alias("pz"), (c % 3).cast("int").alias("truth"), F.get(colors, (c % 6).cast("int")).alias("c1"), F.get(colors, F.expr("cast(customer div 7 % 6 as int)")).alias("c2"))
+    seen = lambda name: grid.select("px", "pz", masks.classes(F.col(name), masks.PALETTES["current"]).alias("class"))
+    brushes = F.when(F.col("truth") == 1, masks.BRUSHES[1]).when(F.col("truth") == 2, masks.BRUSHES[2]).otherwise(0)
+    mask = masks.painted(grid.select("px", "pz", brushes.alias("color"), F.lit(255).alias("alpha")))
+    scores = masks.metrics(masks.compared(mask, seen("c1"), seen("c2")))
+    share = {"river_recall", "lake_recall", "balanced_accuracy", "accuracy"}
+    return scores.select(*[F.round(n, 9).alias(n) if n in share else F.col(n) for n in scores.columns])

@@ -32,6 +32,18 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder; later reads survive lost executors."""
+    """Write df to the shared checkpoint folder; later reads survive lost executors.
+
+    A checkpoint keeps the planner's size estimate, which joins multiply; over a long chain of cuts its
+    digits would grow without end. So the rows are taken up as a new table, whose size adaptive execution finds.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_folder(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder, for short chains: the planner's size estimate is kept."""
     ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -44,8 +44,8 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
 
 
-def read_png(raw: bytes) -> np.ndarray:
-    """Pixels of an 8-bit RGB or RGBA file without interlace."""
+def read_png(raw: bytes, alpha: bool = False) -> np.ndarray:
+    """Pixels of an 8-bit RGB or RGBA file without interlace; with alpha four channels, 255 where the file has none."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG file")
     at, body, head = 8, b"", None
@@ -82,4 +82,7 @@ def read_png(raw: bytes) -> np.ndarray:
                     p = a + b - c
                     guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
                 row[i] = (line[i] + guess) & 255
-    return out.reshape(height, width, size)[:, :, :3].astype(np.uint8)
+    pixels = out.reshape(height, width, size).astype(np.uint8)
+    if not alpha:
+        return pixels[:, :, :3]
+    return pixels if size == 4 else np.concatenate([pixels, np.full((height, width, 1), 255, np.uint8)], 2)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from ..session import cut
 from . import nbt
 
 COVER_PROBE, FLOOR_PROBE = 8, 160
@@ -319,6 +320,72 @@ def scan_surface(spark: SparkSession, world: str) -> DataFrame:
     return _decoded(_chunks(spark, world), surface_biomes, "cx int, cz int, biome string", [pa.int32()] * 2 + [pa.string()])
 
 
+#: Rows of scan(): water columns, surface biomes and dry ground of cells, and one row for each chunk entry with what became of it.
+SCAN = "what string, x int, z int, y int, floor_y int, ice boolean, covered boolean, coral boolean, plants boolean, biome string"
+_SCAN_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+FAILED, PARTIAL, FULL, WET = -1, 0, 1, 2
+
+
+def ground_rows(chunk: dict, wet: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(cx, cz, y): the least surface of the columns of each 4x4 cell that hold no accepted water."""
+    maps = chunk.get("Heightmaps", {})
+    top = heightmap(maps.get("MOTION_BLOCKING"))
+    top = heightmap(maps.get("WORLD_SURFACE")) if top is None else top
+    if top is None:
+        return []
+    z, x = np.divmod(np.arange(256), 16)
+    x, z = x + 16 * int(chunk["xPos"]), z + 16 * int(chunk["zPos"])
+    y = 16 * int(chunk.get("yPos", -4)) + top - 1
+    dry = (top > 0) & np.array([(a, b) not in wet for a, b in zip(x.tolist(), z.tolist(), strict=True)])
+    least: dict[tuple[int, int], int] = {}
+    for cx, cz, h in zip((x[dry] >> 2).tolist(), (z[dry] >> 2).tolist(), y[dry].tolist(), strict=True):
+        least[cx, cz] = min(h, least.get((cx, cz), h))
+    return [(cx, cz, h) for (cx, cz), h in least.items()]
+
+
+def _scan_rows(kind: int, payload: bytes, caves: bool, min_y: int | None) -> list[tuple]:
+    none = (None,) * 8
+    try:
+        chunk = parse_chunk(inflate(kind, payload))
+    except (ValueError, KeyError, OSError, zlib.error, EOFError):
+        return [("chunk", FAILED, *none)]
+    if chunk is None:
+        return [("chunk", PARTIAL, *none)]
+    columns = probe_columns(chunk, caves, min_y)
+    out = [("water", *r) for r in columns]
+    out += [("surface", cx, cz, *none[:6], name) for cx, cz, name in surface_biomes(chunk)]
+    out += [("ground", cx, cz, y, *none[:6]) for cx, cz, y in ground_rows(chunk, {(r[0], r[1]) for r in columns})]
+    return [*out, ("chunk", WET if columns else FULL, *none)]
+
+
+def scan(spark: SparkSession, world: str, caves: bool = True, min_y: int | None = None) -> dict[str, DataFrame]:
+    """Everything one reading of a world gives, each chunk decoded once: columns, surface (cx, cz, biome), ground (cx, cz, y), chunks (state, n)."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SCAN.split(", ")]
+        for batch in batches:
+            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                rows = _scan_rows(kind, payload, caves, min_y)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCAN_KINDS, strict=True)], names)
+
+    rows = cut(_chunks(spark, world).mapInArrow(decode, SCAN))
+    of = lambda what: rows.filter(F.col("what") == what)
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return {
+        "columns": of("water").withColumnRenamed("y", "surface_y").select(*names),
+        "surface": of("surface").select(F.col("x").alias("cx"), F.col("z").alias("cz"), "biome"),
+        "ground": of("ground").select(F.col("x").alias("cx"), F.col("z").alias("cz"), "y"),
+        "chunks": of("chunk").groupBy(F.col("x").alias("state")).agg(F.count("*").alias("n")),
+    }
+
+
+def tiles(spark: SparkSession, world: str) -> DataFrame:
+    """(rx, rz) of the region files of a world, by their names alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mca").load(f"{world.rstrip('/')}/region").select("path")
+    coords = [F.regexp_extract("path", _NAME.pattern, k) for k in (1, 2)]
+    return files.filter(F.col("path").rlike(_NAME.pattern)).select(coords[0].cast("int").alias("rx"), coords[1].cast("int").alias("rz"))
+
+
 def region_file(chunks: dict[int, bytes]) -> bytes:
     """Bytes of a region file of zlib-compressed chunks by index (generators and tests)."""
     table, body, sector = bytearray(8192), bytearray(), 2

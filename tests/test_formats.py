@@ -4,6 +4,7 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isobath.functions import biomes
 from isobath.operators import lakes
@@ -21,12 +22,12 @@ def pack(values, bits):
     return out.view(np.int64)
 
 
-def chunk(cx, cz, water_y=9, status="minecraft:full"):
+def chunk(cx, cz, water_y=9, status="minecraft:full", biome="minecraft:ocean"):
     """One section of stone below, water at water_y and below to 4, air above."""
     y = np.arange(16)[:, None, None] * np.ones((1, 16, 16), int)
     codes = np.where(y > water_y, 0, np.where(y > 4, 1, 2)).ravel()
     palette = [{"Name": "minecraft:air"}, {"Name": "minecraft:water"}, {"Name": "minecraft:stone"}]
-    section = {"Y": 0, "block_states": {"palette": palette, "data": pack(codes, 4)}, "biomes": {"palette": ["minecraft:ocean"]}}
+    section = {"Y": 0, "block_states": {"palette": palette, "data": pack(codes, 4)}, "biomes": {"palette": [biome]}}
     tops, beds = np.full(256, water_y + 1), np.full(256, 5)
     maps_ = {"MOTION_BLOCKING": pack(tops, 9), "OCEAN_FLOOR": pack(beds, 9)}
     return nbt.write({"xPos": cx, "zPos": cz, "yPos": 0, "DataVersion": 3700, "Status": status, "Heightmaps": maps_, "sections": [section], "Other": {"deep": [1, 2]}})
@@ -126,6 +127,97 @@ def test_lake_and_channel(spark):
     assert len(got) == len(columns)
 
 
+def test_shapes_of_lakes(spark):
+    """Lakes and channels at named places: a closed disc, an ellipse, two discs joined by a channel, a wide river, a square with four arms."""
+    box = lambda x0, x1, z0, z1: {(x, z) for x in range(x0, x1) for z in range(z0, z1)}
+    shapes = {
+        "disc": (set(disc(0, 0, 60)), {(0, 0): True, (58, 0): True}, 0),
+        "ellipse": ({(x, z) for x in range(-160, 161) for z in range(-28, 29) if x * x / 160**2 + z * z / 28**2 <= 1}, {(0, 0): True}, 0),
+        "two": (set(disc(0, 0, 60)) | set(disc(300, 0, 60)) | box(40, 270, -4, 5), {(0, 0): True, (300, 0): True, (150, 0): False}, 2),
+        "river": (box(0, 600, -8, 9), {(300, 0): False}, 0),
+        "arms": (box(-60, 61, -60, 61) | box(-200, 201, -4, 5) | box(-4, 5, -200, 201), {(0, 0): True, (180, 0): False, (0, -180): False}, 4),
+        "diagonal": (set(disc(0, 0, 60)) | {(x + d, x) for x in range(30, 200) for d in range(-5, 6)}, {(0, 0): True, (180, 180): False}, 1),
+    }
+    rows, place = [], {}
+    for k, (name, (columns, _, _)) in enumerate(sorted(shapes.items())):
+        place[name] = 3000 * (k - 2)
+        rows += [(x + place[name], z - 70_000) for x, z in columns]
+    found = lakes.detect(spark.createDataFrame(rows, "x int, z int").repartition(5)).collect()
+    columns = {(r.x, r.z): r for r in found if r.contact is None and r.basin is None}
+    assert len(columns) == len(rows)
+    for name, (own, expected, contacts) in shapes.items():
+        for (x, z), lake in expected.items():
+            assert (columns[x + place[name], z - 70_000].lake > 0) == lake, (name, x, z)
+        seen = [r for r in found if r.contact is not None and abs(r.x - place[name]) < 700]
+        assert len(seen) == contacts and all(r.contact.confirmed and r.contact.ratio <= 0.55 for r in seen), (name, seen)
+        # every lake is cut off from the channels: no lake column but at a neck touches one
+        mine = {p: columns[p].lake for p in ((x + place[name], z - 70_000) for x, z in own)}
+        open_ = [p for p, lake in mine.items() if lake and any(mine.get((p[0] + dx, p[1] + dz)) == 0 and not columns[p[0] + dx, p[1] + dz].neck for dx, dz in lakes.SIDES)]
+        assert not open_, name
+
+
+def test_floods_are_those_of_a_queue():
+    own = np.random.default_rng(6)
+    grid = own.random((40, 50)) < 0.7
+    z, x = np.nonzero(grid)
+    w = lakes.Columns(x - 20, z - 33)
+    beside = w.beside(lakes.SIDES)
+    assert all((w.x[n] - w.x[k], w.z[n] - w.z[k]) == s for k in range(len(w.x)) for n, s in zip(beside[k], lakes.SIDES, strict=True) if n >= 0)
+    marks = np.zeros(len(w.x), np.int32)
+    sources = np.sort(own.choice(len(w.x), 6, replace=False))
+    marks[sources] = np.arange(1, 7)
+    steps, mark = lakes.spread(sources, marks, beside)
+    queue, far, name = list(sources), {int(s): 0 for s in sources}, {int(s): int(marks[s]) for s in sources}
+    for p in queue:
+        for n in beside[p]:
+            if n >= 0 and int(n) not in far:
+                far[int(n)], name[int(n)] = far[int(p)] + 1, name[int(p)]
+                queue.append(int(n))
+    assert {k: int(v) for k, v in enumerate(steps) if v >= 0} == far and {k: int(mark[k]) for k in far} == name
+
+
+def test_protected_water_keeps_leftovers_channels(spark):
+    """A small leftover on one lake's bank joins it, but not beside protected water; heads tell inflow from outflow."""
+    columns = {(x, z, 60) for x, z in disc(0, 0, 60)} | {(x, z, 64) for x in range(40, 200) for z in range(-4, 5) if (x, z) not in set(disc(0, 0, 60))}
+    frame = spark.createDataFrame(sorted(columns), "x int, z int, surface_y int")
+    sea = spark.createDataFrame([(200, z) for z in range(-4, 5)], "x int, z int")
+    found = lakes.detect(frame, protected=sea).collect()
+    contacts = [r.contact for r in found if r.contact is not None]
+    assert [round(c.head) for c in contacts] == [4] and contacts[0].confirmed
+    assert {r.lake for r in found if r.contact is None and r.basin is None and r.x > 150} == {0}
+
+
+def test_mask_scores(spark, tmp_path):
+    from isobath.sinks import masks
+
+    image = np.zeros((4, 6, 3), np.uint8)
+    image[:, 2:4], image[:, 4:] = (0x99, 0xCA, 0xCD), (0x64, 0xBE, 0xD3)
+    other = image.copy()
+    other[0, 2:] = 0
+    paint = np.zeros((4, 6, 3), np.uint8)
+    paint[:2, 2:4], paint[2:, 4:], paint[3, 0] = (0x3A, 0xE1, 0xCD), (0x99, 0xCA, 0xCD), (0x99, 0xCA, 0xCD)
+    for name, pixels in (("reference", image), ("map", other), ("mask", paint)):
+        (tmp_path / f"{name}.png").write_bytes(maps.png(pixels))
+    (tmp_path / "data.bin").write_bytes(waterfile.encode([], [], (0, 0, 39, 31)))
+    out = masks.report(spark, *(str(tmp_path / n) for n in ("mask.png", "reference.png", "data.bin")), [str(tmp_path / "map.png")], output=str(tmp_path / "score.json"))
+    (result,) = out["results"]
+    assert out["sample_count"] == 8 and out["ignored_paint_outside_inland_water"] == 1 and out["projection"]["legend_width"] == 1
+    assert (result["river_recall"], result["lake_recall"], result["balanced_accuracy"], result["accuracy"], result["unavailable_predictions"]) == (0.5, 1.0, 0.75, 0.75, 2)
+    assert masks.brush("#3ae1cd") == 0x3AE1CD
+    with pytest.raises(ValueError):
+        masks.brush("12345")
+
+
+def test_sizes_and_colours(spark):
+    from isobath.functions import colours
+    from isobath.sinks.reports import human_size
+
+    assert [human_size(n) for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 40, 1 << 60)] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "5.0 MiB", "3.0 TiB", "1048576.0 TiB"]
+    assert colours.ramp(0) == 0xC6F4FC and colours.ramp(500) == 0x081036 and abs(colours.luminance(colours.style(0, 1, 2, False)) - 0.18) < 0.02
+    rows = spark.range(40).select(colours.id_color(F.col("id")).alias("c")).collect()
+    assert len({r.c for r in rows}) == 40 and rows[0].c == 0x994444
+
+
 def test_stream_of_region_files(spark, tmp_path):
     from isobath.streaming.incremental import run_batches, stream_columns
 

@@ -86,21 +86,107 @@ def test_components_of_random_graphs(spark, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def _absorbed(sizes, kinds, caves, edges, least):
+    a, b, w = (np.array([e[k] for e in edges], int) for k in range(3))
+    group, donor = contraction.absorb(np.array(sizes), np.array(kinds), np.array(caves, bool), a, b, w, least)
+    return group.tolist(), donor.tolist()
+
+
+def _consolidated(areas, edges, limit):
+    a, b, w = (np.array([e[k] for e in edges], int) for k in range(3))
+    return contraction.consolidate(np.array(areas), a, b, w, np.full(len(areas), limit))[0].tolist()
+
+
 def test_absorption_rules():
-    assert contraction.absorb([10, 100], [0, 0], [False, False], [(0, 1, 1)], 1)[1] == [1, 1]
-    assert contraction.absorb([50, 100], [0, 0], [False, False], [(0, 1, 1)], 1)[0] == [0, 1]
-    assert contraction.absorb([10, 100], [0, 1], [False, False], [(0, 1, 1)], 1)[0] == [0, 1]
-    assert contraction.absorb([10, 100], [0, 1], [False, False], [(0, 1, 1)], 20)[1] == [1, 1]
-    assert contraction.absorb([10, 100], [0, 0], [True, False], [(0, 1, 1)], 20)[0] == [0, 1]
-    assert contraction.absorb([5000, 50000], [0, 0], [False, False], [(0, 1, 1)], 9999)[0] == [0, 1]
+    assert _absorbed([10, 100], [0, 0], [False, False], [(0, 1, 1)], 1)[1] == [1, 1]
+    assert len(set(_absorbed([50, 100], [0, 0], [False, False], [(0, 1, 1)], 1)[0])) == 2
+    assert len(set(_absorbed([10, 100], [0, 1], [False, False], [(0, 1, 1)], 1)[0])) == 2
+    assert _absorbed([10, 100], [0, 1], [False, False], [(0, 1, 1)], 20)[1] == [1, 1]
+    assert len(set(_absorbed([10, 100], [0, 0], [True, False], [(0, 1, 1)], 20)[0])) == 2
+    assert len(set(_absorbed([5000, 50000], [0, 0], [False, False], [(0, 1, 1)], 9999)[0])) == 2
 
 
 def test_consolidation_rules():
-    assert contraction.merge_small([4999, 5000], [(0, 1, 3)], lambda i: 5000)[0] == [1, 1]
-    assert contraction.merge_small([5000, 6000], [(0, 1, 3)], lambda i: 5000)[0] == [0, 1]
-    assert contraction.merge_small([10, 10], [(0, 1, 3)], lambda i: 50)[0] == [1, 1]
-    chain = contraction.merge_small([1] * 40, [(i, i + 1, 1) for i in range(39)], lambda i: 100)[0]
-    assert len(set(chain)) == 1
+    assert _consolidated([4999, 5000], [(0, 1, 3)], 5000) == [1, 1]
+    assert _consolidated([5000, 6000], [(0, 1, 3)], 5000) == [0, 1]
+    assert _consolidated([10, 10], [(0, 1, 3)], 50) == [1, 1]
+    assert len(set(_consolidated([1] * 40, [(i, i + 1, 1) for i in range(39)], 100))) == 1
+
+
+class Groups:
+    """One region after another, by the words of the rules: sets of members, contacts summed anew whenever they are asked."""
+
+    def __init__(self, sizes, edges):
+        self.members = {i: {i} for i in range(len(sizes))}
+        self.size, self.edges = dict(enumerate(sizes)), edges
+
+    def of(self, i):
+        return next(k for k, m in self.members.items() if i in m)
+
+    def contacts(self, k):
+        out = {}
+        for a, b, w in self.edges:
+            a, b = self.of(a), self.of(b)
+            if a != b and k in (a, b):
+                out[a + b - k] = out.get(a + b - k, 0) + w
+        return out
+
+    def join(self, gone, stays):
+        self.members[stays] |= self.members.pop(gone)
+        self.size[stays] += self.size.pop(gone)
+
+
+def one_by_one(areas, edges, limit):
+    g, alone = Groups(areas, edges), set()
+    while small := [(g.size[k], k) for k in g.members if g.size[k] < limit and (g.size[k], k) not in alone]:
+        size, k = min(small)
+        options = [(w, g.size[o], -o) for o, w in g.contacts(k).items() if g.size[o] >= size]
+        if options:
+            g.join(k, -max(options)[2])
+        else:
+            alone.add((size, k))
+    return [g.of(i) for i in range(len(areas))]
+
+
+def absorbed_one_by_one(sizes, kinds, caves, edges, least):
+    g = Groups(sizes, edges)
+    says = {i: (i, kinds[i], caves[i]) for i in range(len(sizes))}
+    name, depth = {i: i for i in range(len(sizes))}, dict.fromkeys(range(len(sizes)), 0)
+    for _ in range(contraction.ABSORB_ROUNDS):
+        # groups are keyed by a member; seen: what each group touched when the round began, by name
+        seen = {name[k]: {name[o]: w for o, w in g.contacts(k).items()} for k in g.members}
+        order = sorted((name[k] for k in g.members if g.size[k] < contraction.ABSORB_BELOW), key=lambda n: ({name[k]: g.size[k] for k in g.members}[n], n))
+        done = False
+        for n in order:
+            k = g.of(n)
+            if name[k] != n or g.size[k] >= contraction.ABSORB_BELOW:
+                continue
+            options = []
+            for other, w in seen[n].items():
+                o = g.of(other)
+                if o != k and says[o][2] == says[k][2] and (g.size[k] < least or g.size[o] >= 4 * g.size[k] and says[o][1] == says[k][1]):
+                    options.append((w, g.size[o], -name[o], o))
+            if options:
+                o = max(options)[3]
+                keeps = name[o] if depth[k] < depth[o] else n
+                deep = max(depth[k], depth[o]) + (depth[k] == depth[o])
+                said = says[o] if g.size[o] >= g.size[k] else says[k]
+                g.join(k, o)
+                name[o], depth[o], says[o], done = keeps, deep, said, True
+        if not done:
+            break
+    return [name[g.of(i)] for i in range(len(sizes))], [says[g.of(i)][0] for i in range(len(sizes))]
+
+
+def test_turns_taken_at_once_are_turns_taken_one_by_one():
+    own = np.random.default_rng(1)
+    for _ in range(120):
+        n, most = int(own.integers(2, 26)), int(own.choice([4, 20, 6000]))
+        edges = [tuple(e) for e in np.stack([own.integers(0, n, 2 * n), own.integers(0, n, 2 * n), own.integers(1, 4, 2 * n)], 1).tolist() if e[0] != e[1]] or [(0, 1, 1)]
+        sizes, kinds, caves = own.integers(1, most, n).tolist(), own.integers(0, 3, n).tolist(), (own.random(n) < 0.2).tolist()
+        limit = int(own.integers(1, 3 * most))
+        assert _consolidated(sizes, edges, limit) == one_by_one(sizes, edges, limit)
+        assert _absorbed(sizes, kinds, caves, edges, limit) == absorbed_one_by_one(sizes, kinds, caves, edges, limit)
 
 
 def test_contraction_of_parts(spark):
@@ -117,7 +203,7 @@ def test_sieve(spark):
 def test_lookup_and_index(spark):
     own = spark.createDataFrame([(0, 5, -70, 70), (1, 6, 0, 3)], "id long, z int, x0 int, x1 int")
     points = spark.createDataFrame([(-70, 5), (71, 5), (2, 6), (500, 500)], "x int, z int")
-    assert {(r.x, r.z): r.id for r in regions.lookup(points, regions.spatial_index(own), own).collect()} == {(-70, 5): 0, (71, 5): None, (2, 6): 1, (500, 500): None}
+    assert {(r.x, r.z): r.id for r in regions.lookup(points, own).collect()} == {(-70, 5): 0, (71, 5): None, (2, 6): 1, (500, 500): None}
 
 
 def test_sea_level_fallbacks(spark):
