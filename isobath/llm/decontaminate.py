@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import few, free_name, settle
-from .textkit import SPACE, Spans, U, mix, runs, salted, strings, text_pieces
+from .textkit import SPACE, Spans, U, mix, runs, salted, sliced, strings, text_pieces
 
 #: Masks of weight 8; 1 is compared, 0 ignored. None is longer than the MIN_MATCHED tokens that are enough.
 MASKS = ("1111011101", "111111011", "111110100101", "111101010011")
@@ -224,7 +224,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("doc", kinds["doc"]), T.StructField("item", kinds["item"]), *(T.StructField(n, T.LongType()) for n in ("first_token", "n_tokens", "n_matched", "item_tokens"))])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sought = [hashes[firsts[i] : firsts[i + 1]] for lo, hi, hashes, firsts in lowered(batch.column("item_text")) for i in range(hi - lo)]
             take, out = [], []
             for lo, hi, hashes, firsts in lowered(batch.column("text")):

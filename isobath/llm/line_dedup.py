@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import salted_join, settle
-from .textkit import SPACE, Spans, U, lines, mix, per_text, salted, text_pieces
+from .shared import few, is_few, salted_join, settle
+from .textkit import SPACE, Spans, U, lines, mix, salted, sliced, text_pieces
 
 #: One line in so many ends a chunk.
 MEAN_LINES = 3
@@ -145,12 +145,20 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("id")
         .agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "fp", keeps.alias("keeps"), "keeper", "from"))).alias("spans"))
     )
-    cuts = _cuts(spans)
+    cuts = settle(_cuts(spans))
     asked = cuts.select(F.explode("_outer").alias("p")).groupBy(F.col("p.keeper").alias("_id")).agg(F.sort_array(F.collect_set(F.struct(F.col("p.from").alias("from"), (F.col("p.hi") - F.col("p.lo")).alias("n")))).alias("_asked"))
     # the input's columns travel in one struct, so that none can clash with these
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = packed.join(cuts, "_id", "left").join(asked, "_id", "left")
-    return _rewrite(joined, _differing(joined, text_col), text_col, docs.schema, counted, least_words)
+    marks = settle(cuts.join(asked, "_id", "full"))
+    if is_few(marks):
+        # the marks go to every task, and texts stay where they are read
+        joined = packed.join(F.broadcast(marks), "_id", "left")
+        differing = few(settle(_differing(packed.join(F.broadcast(marks), "_id"), text_col)))
+    else:
+        # one exchange of the texts serves the comparison and the rewriting, in one plan
+        joined = packed.join(marks, "_id", "left")
+        differing = _differing(joined, text_col)
+    return _rewrite(joined, differing, text_col, docs.schema, counted, least_words)
 
 
 def split_spans(spans: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
@@ -192,7 +200,7 @@ def _cuts(spans: DataFrame) -> DataFrame:
     own = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             split = [split_spans(s.as_py()) for s in batch.column(1)]
             columns = [pa.array([[{f.name: s[f.name] for f in own.field(k + 1).type.value_type} for s in row[k]] for row in split], own.field(k + 1).type) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], own.names)
@@ -200,15 +208,15 @@ def _cuts(spans: DataFrame) -> DataFrame:
     return spans.select("id", "spans").mapInArrow(run, schema)
 
 
-def _differing(joined: DataFrame, text_col: str) -> DataFrame | None:
-    """(_id, _differs): chunks and passages whose bytes in that id are not those of the copy that stays; None if there are none, as without a hash collision.
+def _differing(joined: DataFrame, text_col: str) -> DataFrame:
+    """(_id, _differs): chunks and passages whose bytes in that id are not those of the copy that stays; none, but for a hash collision.
 
     Equal bytes of a key are one row before they are shuffled, so copies of a frequent chunk do not meet in one task.
     """
     touched = joined.filter(F.col("_spans").isNotNull() | F.col("_asked").isNotNull()).select("_id", F.col("_row").getField(text_col).cast("string").alias("text"), "_spans", "_outer", "_asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts, spans, outer, asked = batch.columns
             rows = []
             for i in range(batch.num_rows):
@@ -225,10 +233,10 @@ def _differing(joined: DataFrame, text_col: str) -> DataFrame | None:
     pieces = found.groupBy("key", "data").agg(F.bool_or("keeps").alias("keeps"), F.bool_or(~F.col("keeps")).alias("goes"))
     # of the copies under a key that stay (rows that repeat an id), the least bytes are the ones that count
     stays = F.min(F.when(F.col("keeps"), F.col("data")))
-    bad = settle(pieces.groupBy("key").agg(stays.alias("stays"), F.collect_list(F.when(F.col("goes"), F.col("data"))).alias("gone")).select("key", "stays", F.explode("gone").alias("data")).filter(~F.col("data").eqNullSafe(F.col("stays"))).select("key", "data"))
-    if bad.isEmpty():
-        return None
-    return found.filter("not keeps").join(bad, ["key", "data"], "left_semi").groupBy("_id").agg(F.collect_set("tag").alias("_differs"))
+    compared = pieces.groupBy("key").agg(stays.alias("stays"), F.collect_list(F.when(F.col("goes"), F.col("data"))).alias("gone")).select("key", "stays", F.explode("gone").alias("data"))
+    named = lambda rows, *more: rows.select("key", F.sha2("data", 256).alias("digest"), *more)
+    bad = named(compared.filter(~F.col("data").eqNullSafe(F.col("stays"))))
+    return named(found.filter("not keeps"), "_id", "tag").join(bad, ["key", "digest"], "left_semi").groupBy("_id").agg(F.collect_set("tag").alias("_differs"))
 
 
 def tag(piece: dict) -> str:
@@ -273,8 +281,8 @@ def cut_text(raw: bytes, spans: list[dict], inner: list[dict], outer: list[dict]
     return left, gone
 
 
-def _rewrite(joined: DataFrame, differing: DataFrame | None, text_col: str, columns: T.StructType, counted: bool, least_words: int) -> DataFrame:
-    marked = joined.withColumn("_differs", F.lit(None).cast("array<string>")) if differing is None else joined.join(differing, "_id", "left")
+def _rewrite(joined: DataFrame, differing: DataFrame, text_col: str, columns: T.StructType, counted: bool, least_words: int) -> DataFrame:
+    marked = joined.join(differing, "_id", "left")
     extra = [("removed_chunks", T.LongType()), ("removed_bytes", T.LongType())] if counted else []
     names = {n for n, _ in extra}
     kept = [i for i, f in enumerate(columns) if f.name.lower() not in names]
@@ -282,7 +290,7 @@ def _rewrite(joined: DataFrame, differing: DataFrame | None, text_col: str, colu
     at = [columns[i].name for i in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, *places, differs = batch.columns
             fields = row.flatten()
             out = [fields[i] for i in kept]

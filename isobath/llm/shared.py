@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, ensure_checkpoint_folder
+from ..session import ensure_checkpoint_folder, settle  # noqa: F401
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,11 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared folder and survive lost executors."""
-    return cut(df)
-
-
 def grouped_tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
     """Key values and rows of each group of rows that lie together by keys."""
     now, waiting = None, []
@@ -60,8 +55,8 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, h
 BROADCAST_BYTES = 32_000_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its values are counted to be BROADCAST_BYTES or less. It is read for that, so it should be settled."""
+def is_few(df: DataFrame) -> bool:
+    """Are df's values counted to be BROADCAST_BYTES or less? It is read for that, so it should be settled."""
 
     def size(name: str, kind: str):
         column = F.col(f"`{name}`")
@@ -70,7 +65,12 @@ def few(df: DataFrame) -> DataFrame:
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16)
 
     total = sum((size(*t) for t in df.dtypes), F.lit(16))
-    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(total)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is few."""
+    return F.broadcast(df) if is_few(df) else df
 
 
 def rows_of(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

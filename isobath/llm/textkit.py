@@ -88,6 +88,14 @@ def give_back() -> None:
         return
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, without copies; what a batch took is given back after it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        give_back()
+
+
 def text_pieces(array: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of bounded pieces of a batch."""
     array = strings(array)

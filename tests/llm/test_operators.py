@@ -477,7 +477,7 @@ def test_malformed_addresses_are_archived(spark, tmp_path):
 # ---- line chunks --------------------------------------------------------------------
 
 
-def test_line_chunks_match_brute_force(spark, docs, none):
+def test_line_chunks_match_brute_force(spark, docs, none, monkeypatch):
     passage = "\n".join(prose(24, k) for k in range(900, 908))
     rows = [(k, prose(60, k) + "\n" + passage + "\n" + prose(36, 50 + k), "en", "s", 1) for k in range(6)] + [r for r in odd_rows() if r[0] is None or r[0] > 5]
     held = collections.defaultdict(set)
@@ -498,6 +498,9 @@ def test_line_chunks_match_brute_force(spark, docs, none):
             gone += min(held[piece]) != r.doc_id or piece in seen
             seen.add(piece)
         assert r.removed_chunks == gone, r.doc_id
+    monkeypatch.setattr("isobath.llm.shared.BROADCAST_BYTES", 0)
+    assert collections.Counter(line_dedup.remove_repeated_chunks(spark.createDataFrame(rows, SCHEMA)).collect()) == collections.Counter(got)
+    monkeypatch.undo()
     by = {r.doc_id: r for r in got}
     assert by[0].text == rows[0][1] and all(len(by[k].text) < len(rows[k][1]) - 400 for k in range(1, 6))
     assert line_dedup.without_repeats(none).count() == 0
