@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import biomes, blocks, water
 from ..operators import contraction, neighbourhood, regions, runs
+from ..session import cut
 from . import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,19 +481,16 @@ def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of the regions after they were encoded in the binary file and parsed again."""
     from ..sources import waterfile
 
-    own = runs.coalesce_runs(_regions(spark, sf_dir), "id")
-    held: dict[int, list] = {}
-    for r in own.orderBy("id", "z", "x0").toLocalIterator():
-        held.setdefault(r.id, []).append((r.z, r.x0, r.x1))
-    rows, listed = [], []
-    for number in sorted(held):
-        part = held[number]
-        area = sum(b - a + 1 for _, a, b in part)
-        box = min(a for _, a, _ in part), min(z for z, *_ in part), max(b for *_, b in part), max(z for z, *_ in part)
-        rows.append((number, 2, 1, 1, 0, 0, 62, *box, area, 0, 0, 0, 0, 0, 0))
-        listed.append(part)
-    bounds = min(r[7] for r in rows), min(r[8] for r in rows), max(r[9] for r in rows), max(r[10] for r in rows)
-    file = waterfile.WaterFile(waterfile.encode(rows, listed, bounds))
+    own = cut(runs.coalesce_runs(_regions(spark, sf_dir), "id"))
+    box = own.agg(F.min("x0"), F.min("z"), F.max("x1"), F.max("z")).first()
+    sized = runs.measures(own).withColumnRenamed("area", "column_count")
+    plain = {c.split()[0]: F.lit(0).cast(c.split()[1]) for c in waterfile.REGION.split(", ")}
+    rows = sized.select(*[F.col(n) if n in sized.columns else e.alias(n) for n, e in plain.items()])
+    with tempfile.TemporaryDirectory() as folder:
+        # one file on the machine that writes it, read back there
+        path = f"{folder}/regions.bin"
+        waterfile.write_file(path, rows, own, tuple(box))
+        file = waterfile.WaterFile(Path(path).read_bytes())
     return spark.createDataFrame([(r[0], r[11]) for r in file.regions], "id long, area long")
 
 

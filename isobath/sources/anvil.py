@@ -265,12 +265,17 @@ def surface_biomes(chunk: dict) -> list[tuple]:
 
 
 def _chunks(spark: SparkSession, world: str) -> DataFrame:
-    """(kind, payload) of all chunks of all region files of a world.
+    """(kind, payload) of all chunks of all region files of a world."""
+    folder = f"{world.rstrip('/')}/region"
+    return chunks_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.mca").load(folder), folder)
+
+
+def chunks_of(files: DataFrame, folder: str) -> DataFrame:
+    """(kind, payload) of all chunks of region files (path, content), read at once or as a stream.
 
-    Chunks kept in side files (c.<x>.<z>.mcc) are joined by their name.
+    Chunks kept in side files (c.<x>.<z>.mcc) of the folder are joined by their name.
     """
-    folder = f"{world.rstrip('/')}/region"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mca").load(folder).select("path", "content")
+    files = files.select("path", "content")
     raw = "chunk_x int, chunk_z int, kind int, external boolean, payload binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +289,7 @@ def _chunks(spark: SparkSession, world: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["chunk_x", "chunk_z", "kind", "external", "payload"])
 
     chunks = files.mapInArrow(split, raw)
-    side = spark.read.format("binaryFile").option("pathGlobFilter", "*.mcc").load(folder)
+    side = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.mcc").load(folder)
     coords = [F.regexp_extract("path", r"c\.(-?\d+)\.(-?\d+)\.mcc$", k).cast("int") for k in (1, 2)]
     outer = side.select(coords[0].alias("chunk_x"), coords[1].alias("chunk_z"), F.col("content").alias("payload"))
     whole = chunks.filter("not external").unionByName(chunks.filter("external").drop("payload").join(outer, ["chunk_x", "chunk_z"]))
@@ -310,9 +315,14 @@ def _decoded(chunks: DataFrame, rows_of: Callable[[dict], list[tuple]], columns:
     return chunks.mapInArrow(decode, columns)
 
 
+def decoded_columns(chunks: DataFrame, caves: bool = True, min_y: int | None = None) -> DataFrame:
+    """The water columns of chunks (kind, payload). Unreadable chunks are passed over."""
+    return _decoded(chunks, lambda chunk: probe_columns(chunk, caves, min_y), COLUMNS, [pa.int32()] * 4 + [pa.bool_()] * 4 + [pa.string()])
+
+
 def scan_world(spark: SparkSession, world: str, caves: bool = True, min_y: int | None = None) -> DataFrame:
     """Water columns of all region files of a world. Unreadable chunks are passed over."""
-    return _decoded(_chunks(spark, world), lambda chunk: probe_columns(chunk, caves, min_y), COLUMNS, [pa.int32()] * 4 + [pa.bool_()] * 4 + [pa.string()])
+    return decoded_columns(_chunks(spark, world), caves, min_y)
 
 
 def scan_surface(spark: SparkSession, world: str) -> DataFrame:

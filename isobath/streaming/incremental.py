@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,26 +13,9 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_columns(spark: SparkSession, folder: str, caves: bool = True, min_y: int | None = None) -> DataFrame:
-    """A streaming table of the water columns of region files that appear in a folder."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.mca").load(folder).select("content")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in anvil.COLUMNS.split(", ")]
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for _, kind, external, payload in anvil.chunk_payloads(content):
-                    try:
-                        chunk = None if external else anvil.parse_chunk(anvil.inflate(kind, payload))
-                    except (ValueError, OSError, EOFError):
-                        continue
-                    rows = anvil.probe_columns(chunk, caves, min_y) if chunk else []
-                    if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_SCHEMA)
-
-    return files.mapInArrow(decode, anvil.COLUMNS)
-
-
-_SCHEMA = pa.schema([(c.split()[0], {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]]) for c in anvil.COLUMNS.split(", ")])
+    """A streaming table of the water columns of region files that appear in a folder; chunks in side files are joined as they lie there at that time."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.mca").load(folder)
+    return anvil.decoded_columns(anvil.chunks_of(files, folder), caves, min_y)
 
 
 def run_batches(columns: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Region files, tags, the binary region file, images and options."""
 
 import gzip
+import zlib
 
 import numpy as np
 import pytest
@@ -127,6 +128,25 @@ def test_lake_and_channel(spark):
     assert len(got) == len(columns)
 
 
+def test_streamed_file_is_the_whole_file(spark, tmp_path):
+    """Bytes written from partitions are those encoded at once, and ranged reads give the rows again."""
+    own = np.random.default_rng(3)
+    listed = [sorted({(int(z), int(x), int(x + n)) for z, x, n in zip(own.integers(-90, 90, 6), own.integers(-40, 40, 6) * 4, own.integers(0, 3, 6), strict=True)}) for _ in range(30)]
+    rows = [(k, k % 4, k % 3, k % 4, 0, k % 32, 60, -200, -100, 200, 100, 10, 3, 5, 1, 2, 3, 4) for k in range(30)]
+    bounds = (-512, -512, 511, 511)
+    regions = spark.createDataFrame(rows, waterfile.REGION).repartition(3)
+    runs = spark.createDataFrame([(k, *r) for k, part in enumerate(listed) for r in part], "id long, z int, x0 int, x1 int").repartition(4)
+    path = tmp_path / "w.bin"
+    size = waterfile.write_file(str(path), regions, runs, bounds, sea_level=62, data_version=9)
+    raw = waterfile.encode(rows, listed, bounds, sea_level=62, data_version=9)
+    assert path.read_bytes() == raw and size == len(raw)
+    back, lines = waterfile.read_file(spark, str(path))
+    assert sorted(map(tuple, back.collect())) == rows and sorted(map(tuple, lines.collect())) == sorted((k, *r) for k, part in enumerate(listed) for r in part)
+    (tmp_path / "short.bin").write_bytes(raw[:-1])
+    with pytest.raises(waterfile.FormatError):
+        waterfile.read_file(spark, str(tmp_path / "short.bin"))
+
+
 def test_shapes_of_lakes(spark):
     """Lakes and channels at named places: a closed disc, an ellipse, two discs joined by a channel, a wide river, a square with four arms."""
     box = lambda x0, x1, z0, z1: {(x, z) for x in range(x0, x1) for z in range(z0, z1)}
@@ -223,8 +243,13 @@ def test_stream_of_region_files(spark, tmp_path):
 
     folder = tmp_path / "region"
     folder.mkdir()
-    (folder / "r.0.0.mca").write_bytes(anvil.region_file({0: chunk(0, 0), 1: chunk(1, 0)}))
+    raw = bytearray(anvil.region_file({0: chunk(0, 0), 1: chunk(1, 0), 2: b"kept beside"}))
+    # the third chunk lies in a side file
+    at = 4096 * (int.from_bytes(raw[8:11], "big"))
+    raw[at + 4] |= 0x80
+    (folder / "r.0.0.mca").write_bytes(raw)
+    (folder / "c.2.0.mcc").write_bytes(zlib.compress(chunk(2, 0)))
     counts = []
     query = run_batches(stream_columns(spark, str(folder)), lambda batch, _: counts.append(batch.count()), str(tmp_path / "state"))
     query.awaitTermination(60)
-    assert sum(counts) == 512
+    assert sum(counts) == 768 == anvil.scan_world(spark, str(tmp_path)).count()
