@@ -65,6 +65,18 @@ _QUERIES = (
     op10_ngram_trie,
 )
 
+#: Shards by bytes in the order of a digest of id and text; the checksum by its table of 256 remainders.
+_OP1 = """
+WITH RECURSIVE bit(i, k, v) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, text, octet_length(encode(text)) + 16 AS size, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), text)) AS h, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, size, substr(h, 1, 15) AS key, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, t[1 + xor(a & 255, x)])), 4294967295) AS crc FROM b, tab),
+s AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id, size, crc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS below, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, CAST(least(39, (2 * below + size) * 40 // (2 * total)) AS INTEGER) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size, crc) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
 #: Rows in the order of page captures: host labels reversed, path, sorted query; revisits by equal payloads of 100 bytes or more.
 _OP7 = """
 WITH p AS (
@@ -95,4 +107,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_index_merge": _OP7}
+    return {"op1_histogram_sort": _OP1, "op7_warc_index_merge": _OP7}
