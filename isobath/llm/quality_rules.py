@@ -496,7 +496,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: s
     counted = with_counts(docs, text_col, keep_text)
     if keep_text:
         place = f"{shared_folder(docs.sparkSession).rstrip('/')}/counted-{uuid.uuid4().hex}"
-        counted.write.parquet(place)
+        counted.write.option("parquet.block.size", 16 << 20).parquet(place)
         counted = docs.sparkSession.read.schema(counted.schema).parquet(place)
     else:
         counted = settle(counted)

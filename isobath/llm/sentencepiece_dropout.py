@@ -417,7 +417,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         m = model(path)
         for batch in batches:
             keys = np.array(batch.column(1)).astype(np.int64).view(U)
-            for lo, hi, data, offsets in text_pieces(batch.column(2), 4_000_000):
+            for lo, hi, data, offsets in text_pieces(batch.column(2), 2_000_000):
                 tokens, at = encode(data, offsets, keys[lo:hi], m, dropout, seed, variants)
                 raw, back = decode(tokens, at, m)
                 if len(raw) == len(data) and (back == offsets).all():

@@ -96,7 +96,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
         give_back()
 
 
-def text_pieces(array: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of texts whose words are arrays at once; a worker holds some eighty bytes for each.
+PIECE_BYTES = 600_000
+
+
+def text_pieces(array: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of bounded pieces of a batch."""
     array = strings(array)
     data, offsets = buffer_of(array)
