@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .shared import few, grouped_tables, rows_of, salted_join, settle
+from .shared import few, grouped_tables, rows_of, salted_join, settle, small_batches
 from .textkit import Spans, U, mix, salted, shingles, text_pieces, words
 
 WIDTH = 5
@@ -332,7 +332,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     representative: the least id of the identical texts.
     """
-    signed = settle(_sign(docs, id_col, text_col, registers, bands))
+    signed = settle(_sign(small_batches(docs), id_col, text_col, registers, bands))
     same = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = salted_join(signed.select("id", "h1", "h2"), same, ["h1", "h2"], "id").select("id", F.least("id", "rep").alias("rep"))
     member = settle(signed.select("id", F.col("id").alias("rep")).union(copies).groupBy("id").agg(F.min("rep").alias("rep")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import few, free_name, settle
+from .shared import few, free_name, settle, small_batches
 from .textkit import SPACE, Spans, U, mix, runs, salted, sliced, strings, text_pieces
 
 #: Masks of weight 8; 1 is compared, 0 ignored. None is longer than the MIN_MATCHED tokens that are enough.
@@ -200,7 +200,7 @@ def _sieve(seeds: DataFrame) -> tuple[np.ndarray, int]:
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
     """(_key, doc, item, first_token, n_tokens, n_matched, item_tokens): a row for each text row and distinct item that overlap. _key: hash of id and text."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.withColumn("_key", F.xxhash64("doc", "text"))
+    rows = small_batches(rows).withColumn("_key", F.xxhash64("doc", "text"))
     items = settle(_items(benchmark, item_id, item_text))
     seeds = settle(_seeds(items))
     sieve, bits = _sieve(seeds)

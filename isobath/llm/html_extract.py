@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from .shared import small_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^>])*>?|[^<]+|<""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -398,7 +400,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text and n_chars (code points) of every row."""
     weights, trans = train()
     table = trans.tolist()
-    picked = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("_html"))
+    picked = small_batches(pages).select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("_html"))
     schema = T.StructType([picked.schema[id_col], picked.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

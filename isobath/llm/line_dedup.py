@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import few, is_few, salted_join, settle
+from .shared import few, is_few, salted_join, settle, small_batches
 from .textkit import SPACE, Spans, U, lines, mix, salted, sliced, text_pieces
 
 #: One line in so many ends a chunk.
@@ -134,7 +134,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     counted: adds ``removed_chunks`` and ``removed_bytes`` (long). Rows that lost any and have fewer than least_words left go.
     """
-    light = _light(docs, id_col, text_col)
+    light = _light(small_batches(docs), id_col, text_col)
     # the first place of the least id; repeated rows of an id are the same place
     held = light.groupBy("fp").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("n"))
     spread = held.filter("n > 1").select("fp", F.col("first.id").alias("keeper"), F.col("first.lo").alias("from"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
+from .shared import settle, small_batches
 from .textkit import LOWER, Spans, U, mix, pieces, strings, buffer_of, words
 
 BLOCK_BYTES = 6_000_000
@@ -238,7 +238,7 @@ _BLOCK = "block long, ids array<{}>, held binary, lengths binary, codes binary,
 
 def make_blocks(docs: DataFrame, id_col: str, text_col: str, held: F.Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of texts as token codes: the block's vocabulary by falling frequency, and the training counts of its words."""
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     kind = dict(picked.dtypes)["id"]
     arrow_id = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import salted_join, settle, shared_folder
+from .shared import salted_join, settle, shared_folder, small_batches
 from .textkit import SPACE, Spans, earlier, lines, per_text, shingles, text_pieces, words
 
 MIN_WORDS = 10
@@ -109,7 +109,7 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(_row, _stats): a struct of docs' columns, without the text unless keep_text, and a struct of STATS."""
     kept = [f for f in docs.schema if keep_text or f.name != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    packed = small_batches(docs).select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     schema = T.StructType([packed.schema["_row"], T.StructField("_stats", T.StructType([T.StructField(c, T.LongType()) for c in STATS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .textkit import Spans, U, mix, salted, text_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -410,7 +411,7 @@ def decode(tokens: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndarra
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, ids: bool = True) -> DataFrame:
     """id, n_tokens, n_bytes, decodes (decoding the tokens gives the text), and token_ids if ids."""
-    picked = docs.select(F.col(id_col), F.xxhash64(F.col(id_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    picked = small_batches(docs).select(F.col(id_col), F.xxhash64(F.col(id_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([picked.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("decodes", T.BooleanType()), *([T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

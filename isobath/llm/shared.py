@@ -20,6 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of texts that a session hands Python at once: whole texts of any length are in them, and executors hold them several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands Python at most BATCH_ROWS rows at once from now on.
+
+    The setting is read when a plan runs, and frames are lazy, so it cannot be set back here. It changes no result.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def grouped_tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
     """Key values and rows of each group of rows that lie together by keys."""
     now, waiting = None, []

@@ -22,10 +22,13 @@ def test_stages(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark):
-    rows = spark.createDataFrame(odd_rows(), SCHEMA)
+    """Columns of any name are carried on with their values, also those that the stages call their own things by."""
+    rows = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "doc_id + 7 _quality", "8 _row", "9 id", "10 bucket", "11 _key", "12 `a b`")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         if name != "decontamination":
-            assert stage(spark, rows, "").columns == rows.columns
+            left = stage(spark, rows, "")
+            assert left.columns == rows.columns, name
+            assert all(r._quality == (None if r.doc_id is None else r.doc_id + 7) and r.id == 9 for r in left.collect()), name
 
 
 def test_empty_table(spark):
