@@ -43,7 +43,7 @@ DROPOUT = 0.1
 #: At most so many cuts of a unit in all texts; 0: every occurrence draws its own.
 VARIANTS = 0
 #: Occurrences drawn at once.
-DRAWN_UNITS = 200_000
+DRAWN_UNITS = 100_000
 #: Units of more letters have an agenda each (a heap), shorter ones are merged side by side; the cuts are the same.
 LONG_UNIT = 100
 SEED = 2024
@@ -418,7 +418,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         m = model(path)
         for batch in batches:
             keys = np.array(batch.column(1)).astype(np.int64).view(U)
-            for lo, hi, data, offsets in text_pieces(batch.column(2), 2_000_000):
+            for lo, hi, data, offsets in text_pieces(batch.column(2), 800_000):
                 tokens, at = encode(data, offsets, keys[lo:hi], m, dropout, seed, variants)
                 raw, back = decode(tokens, at, m)
                 if len(raw) == len(data) and (back == offsets).all():
