@@ -508,7 +508,7 @@ def lake_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components, absorption, sums of the merged groups and final attributes in one plan."""
     own, nodes, edges = _graph(spark, sf_dir)
-    group = contraction.absorb_regions(nodes, edges, 6)
+    group = cut(contraction.absorb_regions(nodes, edges, 6))
     joined = runs.coalesce_runs(own.drop("status").join(group.select("id", "group"), "id").drop("id").withColumnRenamed("group", "id"), "id")
     cells = _cells(spark, sf_dir).withColumns({"coral": F.lit(False), "plants": F.lit(False)})
     kind = nodes.select(F.col("id").alias("donor"), "kind")

@@ -222,3 +222,22 @@ def test_sea_level_fallbacks(spark):
     assert level([(40, 0, 20_000)]) == 41
     assert level([(62, 10, 10)]) == 63
     assert level([(y, 1000, 1000) for y in range(40, 60)]) == 63
+
+
+def test_region_pipeline_joins_regions_once(spark, monkeypatch):
+    from isobath.plans import queries
+
+    seen, joined = spark.sparkContext.accumulator(0), contraction.absorb_regions
+
+    def counted(*rows):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return joined(*rows).mapInArrow(run, "id long, group long, donor long")
+
+    monkeypatch.setattr(contraction, "absorb_regions", counted)
+    folder = "/root/testdata/sf0.001"
+    queries.region_pipeline(spark, folder).collect()
+    assert seen.value == queries.component_bbox_area(spark, folder).count()
