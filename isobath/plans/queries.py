@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import biomes, blocks, water
 from ..operators import contraction, neighbourhood, regions, runs
-from ..session import cut
+from ..session import cut, ensure_checkpoint_folder
 from . import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,12 +487,19 @@ def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = runs.measures(own).withColumnRenamed("area", "column_count")
     plain = {c.split()[0]: F.lit(0).cast(c.split()[1]) for c in waterfile.REGION.split(", ")}
     rows = sized.select(*[F.col(n) if n in sized.columns else e.alias(n) for n, e in plain.items()])
+    ensure_checkpoint_folder(spark)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/regions-{uuid.uuid4().hex}.bin")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
     with tempfile.TemporaryDirectory() as folder:
-        # one file on the machine that writes it, read back there
-        path = f"{folder}/regions.bin"
+        # one machine writes the file, all read it by ranges from the shared folder
+        path = f"{os.path.realpath(folder)}/regions.bin"
         waterfile.write_file(path, rows, own, tuple(box))
-        file = waterfile.WaterFile(Path(path).read_bytes())
-    return spark.createDataFrame([(r[0], r[11]) for r in file.regions], "id long, area long")
+        store.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), place)
+    regions_, runs_ = waterfile.read_file(spark, store.makeQualified(place).toString())
+    area = runs.measures(runs_).select("id", "area")
+    parsed = cut(regions_.select("id", "column_count").join(area, "id", "left").select("id", F.when(F.col("area") == F.col("column_count"), F.col("area")).alias("area")))
+    store.delete(place, False)
+    return parsed
 
 
 @query()

@@ -253,3 +253,16 @@ def test_stream_of_region_files(spark, tmp_path):
     query = run_batches(stream_columns(spark, str(folder)), lambda batch, _: counts.append(batch.count()), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert sum(counts) == 768 == anvil.scan_world(spark, str(tmp_path)).count()
+
+
+def test_binary_roundtrip_is_read_by_tasks(spark, monkeypatch):
+    from isobath.plans import queries
+
+    def whole(*_):
+        raise AssertionError("the driver parses the whole file")
+
+    monkeypatch.setattr(waterfile, "WaterFile", whole)
+    folder = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, queries.binary_roundtrip(spark, folder).collect()))
+    assert sorted(a for _, a in got) == sorted(r.area for r in queries.component_perimeter(spark, folder).collect())
+    assert [i for i, _ in got] == list(range(len(got)))
