@@ -253,6 +253,23 @@ def test_classifier(spark, docs, none):
     assert {r.score for r in classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_learns_from_every_pair(spark):
+    """The gradient of the mean loss over all pairs, summed pair by pair, is nought at the learnt weights; quantiles are those of all scores."""
+    rows = [(k, prose(20 + k % 40, k) + (" $$$" * (k % 5) if k % 3 else ""), k % 2) for k in range(260)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    table = classifier.training_table(docs, labels)
+    assert table.count() == sum(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows)
+    model = classifier.learn(table)
+    y, x = (np.array(c) for c in zip(*[(r.y, np.frombuffer(r.x, np.float32).astype(float)) for r in table.collect()], strict=True))
+    w, d = model["w"], (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    ridge = np.where(np.arange(len(w)) < len(w) - classifier.WORD_BINS - classifier.RUN_BINS, classifier.RIDGE, classifier.BIN_RIDGE)
+    assert np.abs(d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - ridge * w).max() < 1e-5
+    s = np.sort(x @ w)
+    assert model["cut"] == pytest.approx((s[(y == 0).sum() - 1] + s[(y == 0).sum()]) / 2)
+    values = [0.5] * 7 + [float(v) for v in np.random.default_rng(2).normal(size=300)] + [1e9]
+    assert classifier.at_ranks(spark.createDataFrame([(v,) for v in values], "s double"), list(range(0, 308, 9)), 3) == sorted(values)[::9]
+
+
 # ---- near-duplicates ----------------------------------------------------------------
 
 
